@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker keeps; beyond, it starts anew.
-KEPT = 400_000
+#: Chunks that a worker keeps; beyond, those seen once go, and more until three quarters are left.
+KEPT = 1_000_000
 
 
 class ChunkEncoder:
@@ -24,14 +24,25 @@ class ChunkEncoder:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encode = encode
-        self.clear()
-
-    def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.starts = np.empty(1 << 16, np.int64)
-        self.lengths = np.empty(1 << 16, np.int64)
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.lengths = np.zeros(1 << 16, np.int64)
+        self.hits = np.zeros(1 << 16, np.int64)
+
+    def shrink(self) -> None:
+        n = len(self.place)
+        least = max(2, int(np.partition(self.hits[:n], n // 4)[n // 4]) + 1)
+        kept = np.flatnonzero(self.hits[:n] >= least)
+        chunks = list(self.place)  # in the order of their places
+        sizes = self.lengths[kept]
+        ends = np.cumsum(sizes)
+        self.used = int(sizes.sum())
+        self.ids[: self.used] = self.ids[np.arange(self.used) + np.repeat(self.starts[kept] - (ends - sizes), sizes)]
+        self.starts[: len(kept)], self.lengths[: len(kept)] = ends - sizes, sizes
+        self.hits[:] = 0
+        self.place = {chunks[i]: k for k, i in enumerate(kept.tolist())}
 
     def add(self, chunks: list[str]) -> None:
         lists = self.encode(chunks)
@@ -41,7 +52,7 @@ class ChunkEncoder:
         while len(self.ids) < first + len(flat):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while len(self.starts) < n + len(chunks):
-            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.hits))
         self.ids[first : first + len(flat)] = flat
         self.used += len(flat)
         self.starts[n : n + len(chunks)] = first + np.cumsum(sizes) - sizes
@@ -53,10 +64,11 @@ class ChunkEncoder:
         coded = pc.dictionary_encode(lists.flatten())
         chunks = coded.dictionary.to_pylist()
         if len(self.place) > KEPT:
-            self.clear()
+            self.shrink()
         if new := [x for x in chunks if x not in self.place]:
             self.add(new)
         at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))[np.asarray(coded.indices)]
+        self.hits += np.bincount(at, minlength=len(self.hits))
         sizes = self.lengths[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
