@@ -58,8 +58,7 @@ def build(ranks: dict[bytes, int], pattern: str):  # noqa: ANN201
 class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         ranks = read_ranks(path)
-        tokenizer = build(ranks, pattern)
-        self.coder = ChunkEncoder(lambda chunks: [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+        self.coder = ChunkEncoder(build(ranks, pattern), " 0")
         self.token: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.token[r] = t

@@ -37,7 +37,7 @@ def encoder(path: str) -> ChunkEncoder:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # such strings in a text are text
     # white space is dropped before any merge, so chunks between spaces encode on their own
-    return ChunkEncoder(lambda chunks: [x.ids for x in t.encode_batch_fast(chunks, add_special_tokens=False)])
+    return ChunkEncoder(t, " 0 ")
 
 
 def chunks(column: pa.Array) -> pa.ListArray:

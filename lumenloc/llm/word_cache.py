@@ -8,7 +8,7 @@ distinct ones, and only those that the worker has not met go to the library.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,20 @@ import pyarrow.compute as pc
 KEPT = 1_000_000
 
 
+#: Chunks that may share a call: they start with a letter, end with no white space and hold no 0.
+PLAIN = re.compile(r" ?[^\W\d_](?:[^0]*[^0\s])?")
+#: Such chunks in one call.
+TOGETHER = 500
+
+
 class ChunkEncoder:
-    """encode: chunks to lists of ids. glue: what stands before each chunk but a text's first."""
+    """Ids of chunks, each as if it were a text of its own; between: what parts chunks in one call, a token of its own."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
+    def __init__(self, tokenizer, between: str) -> None:  # noqa: ANN001
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encode = encode
+        self.tokenizer = tokenizer
+        self.between = between
+        (self.sign,) = tokenizer.encode(between, add_special_tokens=False).ids
         self.place: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.used = 0
@@ -44,10 +52,22 @@ class ChunkEncoder:
         self.hits[:] = 0
         self.place = {chunks[i]: k for k, i in enumerate(kept.tolist())}
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def add(self, chunks: list[str]) -> None:
-        lists = self.encode(chunks)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+        plain = [x for x in chunks if PLAIN.fullmatch(x)]
+        odd = [x for x in chunks if not PLAIN.fullmatch(x)]
+        # a call for each chunk would cost more than its merges do: plain ones go together, with a token between
+        lists = self.encode([self.between.join([*plain[i : i + TOGETHER], ""]) for i in range(0, len(plain), TOGETHER)])
+        flat = np.fromiter((i for x in lists for i in x), np.uint32, sum(map(len, lists)))
+        stops = np.flatnonzero(flat == self.sign)
+        sizes = np.diff(stops, prepend=-1) - 1
+        flat = flat[flat != self.sign]
+        lists = self.encode(odd)
+        sizes = np.concatenate([sizes, np.fromiter(map(len, lists), np.int64, len(lists))])
+        flat = np.concatenate([flat, np.fromiter((i for x in lists for i in x), np.uint32, sum(map(len, lists)))])
+        chunks = plain + odd
         n, first = len(self.place), self.used
         while len(self.ids) < first + len(flat):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
