@@ -153,35 +153,34 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return staged(rows, "media", compression="zstd")
 
 
+def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ms = 1000 * HOP * DOWN / (RATE * UP)
+    for batch in blocks(batches, 2):
+        payload, count, tensors, means, spans = [], [], [], [], []
+        for x in batch.column(2).to_pylist():
+            data, _ = from_wave(x)
+            frames = log_mel(np.frombuffer(data, np.uint8))
+            payload.append(len(data))
+            count.append(len(frames))
+            tensors.append(tensor(frames))
+            means.append(frames.mean(axis=0, dtype=np.float64).tolist())
+            spans.append([{"start_ms": a * ms, "end_ms": b * ms} for a, b in segments(frames.mean(axis=1))])
+        kind = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.int64()), pa.array(count, pa.int64()), pa.array(tensors, pa.binary()), pa.array(means, pa.list_(pa.float64())), pa.array(spans, kind)], names=[*batch.schema.names, "payload_bytes", "n_frames", "tensor", "mel_mean", "segments"])
+
+
 def audio_features(media: DataFrame) -> DataFrame:
     """media with payload_bytes, n_frames, tensor (binary, see above), mel_mean (array) and segments (array of start_ms, end_ms)."""
-    media = media.select("doc_id", "n_bytes", "media")
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ms = 1000 * HOP * DOWN / (RATE * UP)
-        for batch in blocks(batches, 2):
-            payload, count, tensors, means, spans = [], [], [], [], []
-            for x in batch.column(2).to_pylist():
-                data, _ = from_wave(x)
-                frames = log_mel(np.frombuffer(data, np.uint8))
-                payload.append(len(data))
-                count.append(len(frames))
-                tensors.append(tensor(frames))
-                means.append(frames.mean(axis=0, dtype=np.float64).tolist())
-                spans.append([{"start_ms": a * ms, "end_ms": b * ms} for a, b in segments(frames.mean(axis=1))])
-            kind = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.int64()), pa.array(count, pa.int64()), pa.array(tensors, pa.binary()), pa.array(means, pa.list_(pa.float64())), pa.array(spans, kind)], names=[*batch.schema.names, "payload_bytes", "n_frames", "tensor", "mel_mean", "segments"])
-
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(compute, f"doc_id {kind}, n_bytes long, media binary, payload_bytes long, n_frames long, tensor binary, mel_mean array<double>, segments array<struct<start_ms: double, end_ms: double>>")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(featured, f"doc_id {kind}, n_bytes long, media binary, payload_bytes long, n_frames long, tensor binary, mel_mean array<double>, segments array<struct<start_ms: double, end_ms: double>>")
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio_features(store_media(documents(spark, sf_dir)))
+    """The digest is made in the pass that computes the features: as two steps they'd keep two Python workers a task."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in featured(batches):
             rows = batch.to_pylist()
             data = [from_wave(x["media"])[0] for x in rows]
             features = [f"{x['n_frames']}:{len(x['segments'])}:{','.join(f'{m:.3f}' for m in x['mel_mean'])}:{zlib.crc32(x['tensor']):08x}" for x in rows]
@@ -191,4 +190,4 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return rows.mapInArrow(told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return store_media(documents(spark, sf_dir)).mapInArrow(told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

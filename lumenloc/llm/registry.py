@@ -10,9 +10,10 @@ from . import license_scan
 from .audio import op2_audio_features
 from .byte_bpe import op5_byte_bpe
 from .license_scan import op10_license_scan
+from .quality import op8_quality
 from .secret_scan import op4_secret_scan
 from .spotsigs import op6_spotsigs
 from .token_store import op1_token_store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_audio_features, op4_secret_scan, op5_byte_bpe, op6_spotsigs, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_audio_features, op4_secret_scan, op5_byte_bpe, op6_spotsigs, op8_quality, op10_license_scan)}
 ORACLES: dict[str, str] = {"op10_license_scan": license_scan.oracle()}
