@@ -23,12 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import blocks, documents
-from .word_cache import ChunkEncoder
+from .word_cache import TOGETHER_BYTES, ChunkEncoder
 
-#: A space beside other white space; a text without one may be cut before each space.
-RUN = re.compile(r" \s|\s ")
+#: A space or line feed beside other white space; a text without one may be cut before each of them.
+RUN = re.compile(r"[ \n]\s|\s[ \n]")
 
 
 def byte_characters() -> list[str]:
@@ -68,15 +69,16 @@ class Codec:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has.
 
-        A single space between two characters that aren't white space always starts a piece, so such texts are cut
-        before each space; the others go to the library whole.
+        A single space or line feed between two characters that aren't white space always starts a piece, so such
+        texts are cut before each; the others go to the library whole.
         """
         column = pc.fill_null(column, "")
-        lists = pc.split_pattern(column, " ")
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         whole = np.fromiter((RUN.search(x) is not None for x in column.to_pylist()), bool, len(column))
         values, offsets = lists.flatten(), np.asarray(lists.offsets)
         first = np.zeros(len(values), bool)
         first[offsets[:-1] - offsets[0]] = True
+        first |= np.asarray(pc.starts_with(values, "\n"))
         values = pc.if_else(pa.array(first), values, pc.binary_join_element_wise(pa.scalar(""), values, " "))
         if whole.any():
             kept = np.repeat(~whole, np.diff(offsets))
@@ -105,48 +107,48 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, offsets: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, and with offsets starts: the code point at which each token starts."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool) -> Iterator[pa.RecordBatch]:
+    c = codec(path, pattern)
+    for batch in blocks(batches, size=TOGETHER_BYTES):
+        ids, sizes = c.encode(batch.column(1))
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))]
+        if offsets:
+            found = [c.starts(ids[a:b], (t or "").encode()) for t, a, b in zip(batch.column(1).to_pylist(), bounds[:-1], bounds[1:], strict=True)]
+            lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found).astype(np.int32))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "ids", "starts"][: 2 + offsets])
+
+
+def decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    c = codec(path, pattern)
+    for batch in batches:
+        data = [c.decode(x or []) for x in batch.column("ids").to_pylist()]
+        yield batch.append_column("data", pa.array(data, pa.binary()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in blocks(batches):
-            ids, sizes = c.encode(batch.column(1))
-            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))]
-            if offsets:
-                found = [c.starts(ids[a:b], (t or "").encode()) for t, a, b in zip(batch.column(1).to_pylist(), bounds[:-1], bounds[1:], strict=True)]
-                lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found).astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "ids", "starts"][: 2 + offsets])
 
+def encode(df: DataFrame, path: str, pattern: str, offsets: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, and with offsets starts: the code point at which each token starts."""
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", starts array<int>" * offsets)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda b: encoded(b, path, pattern, offsets), f"doc_id {kind}, ids array<int>" + ", starts array<int>" * offsets)
 
 
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """df with data: the bytes that column ids stands for. A null list has no bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in batches:
-            data = [c.decode(x or []) for x in batch.column("ids").to_pylist()]
-            yield batch.append_column("data", pa.array(data, pa.binary()))
-
     df = df.drop("data")
-    return df.mapInArrow(run, f"{df._jdf.schema().toDDL()}, data binary")
+    return df.mapInArrow(lambda b: decoded(b, path, pattern), T.StructType([*df.schema.fields, T.StructField("data", T.BinaryType())]))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode and decode in one pass over the batches: as two steps they'd keep two Python workers a task."""
     import public_tokenizers as P
 
     path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    rows = decode(encode(documents(spark, sf_dir), path, pattern, offsets=False), path, pattern)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digits = codec(path, pattern).digits
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in decoded(encoded(batches, path, pattern, False), path, pattern):
             ids = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(" ".join(map(digits.__getitem__, x)).encode()) for x in ids]), pa.array([sha(x) for x in batch.column(2).to_pylist()])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(told, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(told, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -13,7 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once in a Python worker; a longer single text is handled alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Rows of an Arrow batch while a table is staged.
+BATCH_ROWS = 1000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,10 +40,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of shuffle files of plans that nothing refers to any more: Spark's cleaner follows the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that no later step reads."""
+    for df in tables:
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    released(spark)
+    path, usual = scratch(spark, name), spark.conf.get(key)
+    # rows of texts and sets are large: few of them are on their way to Python at once
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(key, usual)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,14 +73,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that column ``text`` holds about BLOCK_BYTES at most; a longer text stands alone."""
+def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that column ``text`` holds about size bytes at most; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(text)
         lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
-        part = (np.cumsum(lengths) - lengths) // BLOCK_BYTES
+        part = (np.cumsum(lengths) - lengths) // size
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             yield batch.slice(a, b - a)

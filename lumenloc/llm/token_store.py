@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import blocks, documents, scratch, shuffle_partitions
+from .word_cache import TOGETHER_BYTES as TOGETHER
 from .word_cache import ChunkEncoder
 
 END = 2
@@ -41,8 +42,18 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def chunks(column: pa.Array) -> pa.ListArray:
-    """Each text between its spaces and line feeds, which this tokenizer drops."""
-    return pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+    """Each text between its spaces and line feeds, which this tokenizer drops.
+
+    A-Z become a-z first, as the tokenizer does itself, so that more chunks are alike; not where a text of the batch
+    has combining marks of U+0300 to U+037F, as composition comes before it.
+    """
+    column = pc.fill_null(column, "")
+    data = column.buffers()[2]
+    if data is not None and len(data):
+        lead = np.frombuffer(data, np.uint8)
+        if not ((lead == 0xCC) | (lead == 0xCD)).any():
+            column = pc.ascii_lower(column)
+    return pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
 
 
 def encode_ids(df: DataFrame, path: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,7 +61,7 @@ def encode_ids(df: DataFrame, path: str, end_id: int = END, id_col: str = "doc_i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, before = encoder(path), 0
-        for batch in blocks(batches):
+        for batch in blocks(batches, size=TOGETHER):
             ids, sizes = coder(chunks(batch.column(1)))
             ends = np.cumsum(sizes + 1)
             out = np.full(int(ends[-1]), end_id, np.int32)
@@ -71,7 +82,7 @@ def write_token_store(df: DataFrame, tokenizer: str, out: str, parts: int | None
     n = parts or shuffle_partitions(df.sparkSession)
     order = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)]
     rows = df.select(id_col, text_col).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.stripe.size": str(STRIPE_BYTES), "compression": "zstd"}
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(ROW_STRIDE), "orc.stripe.size": str(STRIPE_BYTES), "compression": "none"}
     encode_ids(rows, tokenizer, end_id, id_col, text_col).write.options(**options).orc(out)
 
 

@@ -2,7 +2,8 @@
 
 Both vocabularies never form a token across a space that stands between two characters that aren't white space, so a
 text's ids are its space-separated chunks' ids in a row. Chunks repeat: Arrow's dictionary encoding finds a batch's
-distinct ones, and only those that the worker has not met go to the library.
+distinct ones, and only those that the worker has not met go to the library. Known chunks are found by 128 bits of hash
+in sorted arrays, so no Python object is kept or made for them.
 """
 
 from __future__ import annotations
@@ -14,14 +15,46 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker keeps; beyond, those seen once go, and more until three quarters are left.
-KEPT = 1_000_000
-
+from .shared import GOLDEN, byte_codes, mix
 
+#: Chunks that a worker keeps; beyond, those seen once go, and more until three quarters are left.
+KEPT = 2_000_000
 #: Chunks that may share a call: they start with a letter, end with no white space and hold no 0.
-PLAIN = re.compile(r" ?[^\W\d_](?:[^0]*[^0\s])?")
-#: Such chunks in one call.
+PLAIN = re.compile(r"[ \n]?[^\W\d_](?:[^0]*[^0\s])?")
+#: A chunk whose last sign is a piece of its own, as a letter stands before it.
+SIGNS = ".,;:!?"
+TAIL = re.compile(r".*[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]", re.DOTALL)
+#: Bytes of text at once: the more, the fewer distinct chunks a byte.
+TOGETHER_BYTES = 4 << 20
+#: Chunks in one call.
 TOGETHER = 500
+CODES = byte_codes(11)
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def hashes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes: a polynomial in the bytes, and a mix of the first and last eight bytes and the length."""
+    n = len(strings)
+    wide = pa.types.is_large_string(strings.type)
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[strings.offset : strings.offset + n + 1].astype(np.int64)
+    buf = np.zeros(int(at[-1] - at[0]) + 16, np.uint8)
+    if at[-1] > at[0]:
+        buf[8:-8] = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    starts, sizes = at[:-1] - at[0], np.diff(at)
+    place = np.arange(len(buf) - 16) - np.repeat(starts, sizes)
+    powers = np.full(max(1, int(sizes.max(initial=0))), 0xD6E8FEB86659FD93, np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    total = np.zeros(len(buf) - 15, np.uint64)
+    np.cumsum(CODES[buf[8:-8]] * powers[place], out=total[1:])
+    size = sizes.astype(np.uint64)
+    one = mix((total[starts + sizes] - total[starts]) ^ (size * GOLDEN))
+    windows = np.lib.stride_tricks.sliding_window_view(buf, 8)
+    mask = MASKS[np.minimum(sizes, 8)]
+    first = windows[starts + 8].copy().view(np.uint64).ravel() & mask
+    last = windows[starts + sizes].copy().view(np.uint64).ravel() & ~(MASKS[8 - np.minimum(sizes, 8)])
+    return one, mix(first * GOLDEN + (last ^ (last >> np.uint64(29)))) + size
 
 
 class ChunkEncoder:
@@ -32,68 +65,96 @@ class ChunkEncoder:
         self.tokenizer = tokenizer
         self.between = between
         (self.sign,) = tokenizer.encode(between, add_special_tokens=False).ids
-        self.place: dict[str, int] = {}
+        self.one, self.two = np.empty(0, np.uint64), np.empty(0, np.uint64)  # by one, ascending
+        self.starts, self.lengths, self.hits = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
         self.ids = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.hits = np.zeros(1 << 16, np.int64)
 
-    def shrink(self) -> None:
-        n = len(self.place)
-        least = max(2, int(np.partition(self.hits[:n], n // 4)[n // 4]) + 1)
-        kept = np.flatnonzero(self.hits[:n] >= least)
-        chunks = list(self.place)  # in the order of their places
-        sizes = self.lengths[kept]
+    def places(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Where the chunks stand, or -1."""
+        if not len(self.one):
+            return np.full(len(one), -1, np.int64)
+        order = np.argsort(one)  # ascending keys keep the search in the cache
+        found = np.empty(len(one), np.int64)
+        found[order] = np.searchsorted(self.one, one[order])
+        found[found == len(self.one)] = 0
+        found[(self.one[found] != one) | (self.two[found] != two)] = -1
+        return found
+
+    def gathered(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the chunks at these places, in a row."""
+        sizes = self.lengths[at].astype(np.int64)
         ends = np.cumsum(sizes)
-        self.used = int(sizes.sum())
-        self.ids[: self.used] = self.ids[np.arange(self.used) + np.repeat(self.starts[kept] - (ends - sizes), sizes)]
-        self.starts[: len(kept)], self.lengths[: len(kept)] = ends - sizes, sizes
-        self.hits[:] = 0
-        self.place = {chunks[i]: k for k, i in enumerate(kept.tolist())}
+        return self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+
+    def keep(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        if not chunks:
+            return
+        one, two = hashes(pa.array(chunks, pa.string()))
+        first = self.used
+        while len(self.ids) < first + len(flat):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[first : first + len(flat)] = flat
+        self.used += len(flat)
+        order = np.argsort(one)
+        at = np.searchsorted(self.one, one[order])
+        self.one, self.two = np.insert(self.one, at, one[order]), np.insert(self.two, at, two[order])
+        self.starts = np.insert(self.starts, at, (first + np.cumsum(sizes) - sizes)[order])
+        self.lengths = np.insert(self.lengths, at, sizes[order])
+        self.hits = np.insert(self.hits, at, 0)
+
+    def shrink(self) -> None:
+        n = len(self.one)
+        kept = np.flatnonzero(self.hits > max(1, int(np.partition(self.hits, n // 4)[n // 4])))
+        flat, sizes = self.gathered(kept), self.lengths[kept]
+        self.used = len(flat)
+        self.ids[: self.used] = flat
+        self.one, self.two, self.lengths, self.hits = self.one[kept], self.two[kept], sizes, np.zeros(len(kept), np.int32)
+        self.starts = np.cumsum(sizes, dtype=np.int64) - sizes
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def add(self, chunks: list[str]) -> None:
-        plain = [x for x in chunks if PLAIN.fullmatch(x)]
-        odd = [x for x in chunks if not PLAIN.fullmatch(x)]
+        """Distinct chunks that aren't known."""
+        tails = [x for x in chunks if x[-1:] in SIGNS and TAIL.fullmatch(x)]
+        rest = dict.fromkeys(chunks)
+        if tails:
+            for x in tails:
+                del rest[x]
+            parts = list(dict.fromkeys(y for x in tails for y in (x[:-1], x[-1])))
+            there = self.places(*hashes(pa.array(parts, pa.string()))) >= 0
+            rest |= dict.fromkeys(y for y, k in zip(parts, there.tolist(), strict=True) if not k)
+        plain, odd = [], []
+        for x in rest:
+            (plain if PLAIN.fullmatch(x) else odd).append(x)
         # a call for each chunk would cost more than its merges do: plain ones go together, with a token between
         lists = self.encode([self.between.join([*plain[i : i + TOGETHER], ""]) for i in range(0, len(plain), TOGETHER)])
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, sum(map(len, lists)))
+        flat = np.concatenate([np.empty(0, np.uint32), *[np.array(x, np.uint32) for x in lists]])
         stops = np.flatnonzero(flat == self.sign)
-        sizes = np.diff(stops, prepend=-1) - 1
-        flat = flat[flat != self.sign]
+        flat, sizes = flat[flat != self.sign], np.diff(stops, prepend=-1) - 1
         lists = self.encode(odd)
-        sizes = np.concatenate([sizes, np.fromiter(map(len, lists), np.int64, len(lists))])
-        flat = np.concatenate([flat, np.fromiter((i for x in lists for i in x), np.uint32, sum(map(len, lists)))])
-        chunks = plain + odd
-        n, first = len(self.place), self.used
-        while len(self.ids) < first + len(flat):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while len(self.starts) < n + len(chunks):
-            self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.hits))
-        self.ids[first : first + len(flat)] = flat
-        self.used += len(flat)
-        self.starts[n : n + len(chunks)] = first + np.cumsum(sizes) - sizes
-        self.lengths[n : n + len(chunks)] = sizes
-        self.place.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        flat = np.concatenate([flat, *[np.array(x, np.uint32) for x in lists]])
+        self.keep(plain + odd, flat, np.concatenate([sizes, np.fromiter(map(len, lists), np.int64, len(lists))]))
+        if tails:
+            at = self.places(*hashes(pa.array([y for x in tails for y in (x[:-1], x[-1])], pa.string())))
+            sizes = self.lengths[at].astype(np.int64)
+            self.keep(tails, self.gathered(at), sizes[::2] + sizes[1::2])
 
     def __call__(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """lists: each text's chunks. All ids in a row, and how many each text has."""
         coded = pc.dictionary_encode(lists.flatten())
-        chunks = coded.dictionary.to_pylist()
-        if len(self.place) > KEPT:
+        if len(self.one) > KEPT:
             self.shrink()
-        if new := [x for x in chunks if x not in self.place]:
-            self.add(new)
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))[np.asarray(coded.indices)]
-        self.hits += np.bincount(at, minlength=len(self.hits))
-        sizes = self.lengths[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+        key = hashes(coded.dictionary)
+        places = self.places(*key)
+        if (new := places < 0).any():
+            self.add(coded.dictionary.filter(pa.array(new)).to_pylist())
+            places = self.places(*key)
+        at = places[np.asarray(coded.indices)]
+        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
+        ids = self.gathered(at)
         per = np.diff(np.asarray(lists.offsets)) if len(lists) else np.empty(0, np.int64)
         last = np.cumsum(per)
-        bounds = np.concatenate([[0], ends])
+        bounds = np.concatenate([[0], np.cumsum(self.lengths[at], dtype=np.int64)])
         return ids, bounds[last] - bounds[last - per]
