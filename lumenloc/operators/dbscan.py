@@ -1,18 +1,20 @@
 """DBSCAN over haversine distance.
 
 Equal points are one weighted place from the start, so hot coordinates cost one row. Places meet through the grid join;
-a place is core if the weights within reach add up to the minimum. Components over core places come from repeated
-minima, each round written to the checkpoint folder; a border place takes the neighbouring core with the smallest root,
-as the cluster that grows first claims it. Labels are the roots' ranks; noise is -1.
+a place is core if the weights within reach add up to the minimum. Cores of one fine cell, half the reach wide and high,
+are all within reach of each other, so components are found over cells: a few rows, whose rounds of repeated minima are
+written to the checkpoint folder. A border place takes the neighbouring core with the smallest root, as the cluster that
+grows first claims it. Labels are the roots' ranks; noise is -1.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -34,29 +36,44 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _fine_cell(lat: Column, lon: Column, radius_km: float) -> Column:
+    """A cell whose points are all within the radius: half of it along the meridian and, where widest, the parallel."""
+    side = math.degrees(radius_km / geo.EARTH_KM) / 2 * 0.999999
+    row = F.floor((lat + 90) / side)
+    low, high = row * side - 90, (row + 1) * side - 90
+    flat = F.when((low <= 0) & (high >= 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high), F.lit(90.0)))
+    count = F.greatest(F.lit(1), F.ceil(360 * F.cos(F.radians(flat)) / side))
+    return F.struct(row.cast("long").alias("row"), F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * count).cast("long").alias("col"))
+
+
 def dbscan(samples: DataFrame, radius_km: float = RADIUS_KM, min_share: float = MIN_SHARE, least: int = LEAST) -> DataFrame:
     """samples (sample_id, lat, lon) with label. A null coordinate is noise."""
-    places = staged(samples.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("sample_id").alias("place"), F.count("*").alias("n")), "places")
+    reach_m = radius_km / geo.EARTH_KM * geo.EARTH_M
+    points = samples.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("sample_id").alias("place"), F.count("*").alias("n"))
+    places = staged(points.withColumn("fine", _fine_cell(F.col("lat"), F.col("lon"), radius_km)), "places")
     need = max(least, int(samples.count() * min_share))
-    near = staged(near_pairs(places, places, radius_km / geo.EARTH_KM * geo.EARTH_M).select(F.col("l_place").alias("a"), F.col("r_place").alias("b"), F.col("r_n").alias("n")), "near")
-    core = near.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= need).select(F.col("a").alias("core"))
-    links = staged(near.join(core, near["a"] == core["core"]).select("a", "b").join(core, F.col("b") == F.col("core")).select("a", "b"), "links")
-    roots = links.select("a").distinct().select(F.col("a").alias("core"), F.col("a").alias("root"))
+    weights = near_pairs(places, places.select("lat", "lon", "n"), reach_m).groupBy("l_place").agg(F.sum("r_n").alias("n"))
+    cores = staged(places.drop("n").join(weights.where(F.col("n") >= need).select(F.col("l_place").alias("place")), "place"), "cores")
+    links = staged(near_pairs(cores.select("lat", "lon", "fine"), cores.select("lat", "lon", "fine"), reach_m).select(F.col("l_fine").alias("a"), F.col("r_fine").alias("b")).distinct(), "links")
+    roots = staged(cores.groupBy(F.col("fine").alias("cell")).agg(F.min("place").alias("root")), "roots")
     total = None
     while True:
-        # each core takes the smallest root around it, then that root's own root
-        step = links.join(roots, links["b"] == roots["core"]).groupBy("a").agg(F.min("root").alias("root"))
-        jump = roots.select(F.col("core").alias("k"), F.col("root").alias("r"))
-        roots = staged(step.join(jump, step["root"] == jump["k"]).select(F.col("a").alias("core"), F.least("root", "r").alias("root")), "roots")
+        # each cell takes the smallest root around it, then the root of that root's own cell
+        step = links.join(roots, links["b"] == roots["cell"]).groupBy("a").agg(F.min("root").alias("root"))
+        home = cores.select(F.col("place").alias("k"), F.col("fine").alias("f")).join(roots, F.col("f") == F.col("cell")).select("k", F.col("root").alias("r"))
+        roots = staged(step.join(home, step["root"] == home["k"]).select(F.col("a").alias("cell"), F.least("root", "r").alias("root")), "roots")
         now = roots.agg(F.sum("root")).first()[0]
         if now == total:
             break
         total = now
-    claimed = near.join(roots, near["b"] == roots["core"]).groupBy("a").agg(F.min(F.when(F.col("a") == F.col("core"), F.struct(F.lit(0), "root")).otherwise(F.struct(F.lit(1), "root"))).alias("r")).select("a", F.col("r.root").alias("root"))
-    names = roots.select("root").distinct().orderBy("root")
+    rooted = cores.join(roots, cores["fine"] == roots["cell"]).select("place", "lat", "lon", "root")
+    others = places.join(cores.select("place"), "place", "left_anti").select("place", "lat", "lon")
+    border = near_pairs(others, rooted.select("lat", "lon", "root"), reach_m).groupBy(F.col("l_place").alias("place")).agg(F.min("r_root").alias("root"))
+    claimed = rooted.select("place", "root").unionAll(border)
+    names = roots.select("root").distinct()
     # a label a cluster; with n samples there are at most 1 / min_share clusters
     named = names.selectExpr("root", "row_number() over (order by root) - 1 as label")
-    labels = claimed.join(named, "root").select(F.col("a").alias("place"), "label").join(places.select("place", "lat", "lon"), "place").drop("place")
+    labels = claimed.join(named, "root").select("place", "label").join(places.select("place", "lat", "lon"), "place").drop("place")
     return samples.join(labels, ["lat", "lon"], "left").select(*samples.columns, F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 
 
