@@ -5,8 +5,8 @@
 
 * a polyphase resampling by ``UP`` / ``DOWN`` (windowed-sinc low-pass, one phase of the filter an output sample),
 * overlapped log-mel filterbanks (Hann frames of FRAME samples, HOP apart, MELS bands),
-* energy segments with hysteresis: one begins where the level rises over the ``high`` quantile-based threshold and ends
-  where it falls under the ``low`` one.
+* energy segments with hysteresis: one begins where the level rises to the ``high`` threshold and ends where it falls
+  under the ``low`` one.
 
 Features are fixed-shape tensors: ``tensor`` is an Arrow IPC stream with a fixed_shape_tensor column of TILE x MELS and
 the time span of each tile in milliseconds; the last tile is padded with the floor value and ``n_frames`` says how many
@@ -112,8 +112,12 @@ def log_mel(payload: np.ndarray) -> np.ndarray:
 
 
 def segments(level: np.ndarray, low: float = 0.4, high: float = 0.6) -> list[tuple[int, int]]:
-    """Frame spans, end exclusive: from rising to the high threshold until falling under the low one."""
-    a, b = (float(np.quantile(level, q)) for q in (low, high))
+    """Frame spans, end exclusive: from rising to the high threshold until falling under the low one.
+
+    Thresholds are shares of the way from the quietest to the loudest frame; a level that doesn't vary is one segment.
+    """
+    quiet, loud = float(level.min()), float(level.max())
+    a, b = quiet + low * (loud - quiet), quiet + high * (loud - quiet)
     if a >= b:
         return [(0, len(level))]
     state = np.where(level >= b, 1, np.where(level < a, 0, -1))

@@ -13,6 +13,8 @@ licences; repeated rows give repeated rows; other columns of the input are ignor
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,10 @@ SENTENCES: dict[str, str] = {
     "BSDname": "Released under the BSD License.",
     "Apache2name": "Licensed under the Apache License, Version 2.0.",
     "Apache2header": "Licensed under the Apache License, Version 2.0 (the \"License\");",
-    "Apache2youmay": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "Apache2comply": "you may not use this file except in compliance with the License.",
     "Apache2obtain": "You may obtain a copy of the License at",
     "Apache2unless": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "Apache2obtainunless": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "Apache2obtainat": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "Apache2see": "See the License for the specific language governing permissions and limitations under the License.",
     "GPLwork3": "This work is licensed under the GNU General Public License, version 3.",
     "GPLwork2": "This work is licensed under the GNU General Public License, version 2.",
@@ -69,9 +70,9 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("MITgrant", "MITnotice", "MITwarranty", "MITliability")),
     ("BSD-3-Clause", ("BSDgrant", "BSDsource", "BSDbinary", "BSDendorse")),
     ("Apache-2.0", ("Apache2header", "Apache2comply", "Apache2obtain", "Apache2unless", "Apache2see")),
-    ("Apache-2.0", ("Apache2youmay", "Apache2unless", "Apache2see")),
-    ("Apache-2.0", ("Apache2youmay", "Apache2obtain", "Apache2unless", "Apache2see")),
-    ("Apache-2.0", ("Apache2youmay", "Apache2obtainunless", "Apache2unless", "Apache2see")),
+    ("Apache-2.0", ("Apache2header", "Apache2comply", "Apache2obtainat", "Apache2unless", "Apache2see")),
+    ("Apache-2.0", ("Apache2header", "Apache2comply", "Apache2unless", "Apache2see")),
+    ("Apache-2.0", ("Apache2header", "Apache2comply")),
     ("GPL-3.0-or-later", ("GPLfree", "GPLhope", "GPLsee")),
     ("GPL-2.0-or-later", ("GPLfree2", "GPLhope", "GPLsee")),
     ("BSD-2-Clause", ("BSDgrant", "BSDsource", "BSDbinary")),
@@ -84,7 +85,6 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD", ("BSDname",)),
     ("BSD-3-Clause", ("SPDXbsd3",)),
     ("Apache-2.0", ("Apache2name",)),
-    ("Apache-2.0", ("Apache2youmay",)),
     ("Apache-2.0", ("Apache2header",)),
     ("Apache-2.0", ("SPDXapache2",)),
     ("GPL-3.0", ("GPLwork3",)),
@@ -104,17 +104,29 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Unlicense", ("Unlicense",)),
 ]
 
-CUTS = {"line": r"[\r\n]+|[.!?;]+[\r\n\t ]+", "wrapped": r"[\r\n]+[\t ]*[\r\n]+|[.!?;]+[\r\n\t ]+"}
+CUTS = {"line": r"[\r\n]+|[.!?;:]+[\r\n\t ]+", "wrapped": r"[\r\n]+[\t ]*[\r\n]+|[.!?;:]+[\r\n\t ]+"}
 OTHER = "[^a-z0-9]+"
 
 
-def normal(sentence: str) -> str:
-    return "".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).strip()
+def pieces(sentence: str) -> list[str]:
+    """The normalised pieces into which a known sentence is cut itself."""
+    cut = (" ".join(re.sub(OTHER, " ", x.lower()).split()) for x in re.split(CUTS["wrapped"], sentence))
+    return [x for x in cut if x]
 
 
 def known(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
-    """Identifier by normalised sentence."""
-    return {" ".join(normal(v).split()): k for k, v in sentences.items()}
+    """Identifier by normalised piece: the sentence's, with a number from its second piece on."""
+    out: dict[str, str] = {}
+    for name, sentence in sentences.items():
+        for k, piece in enumerate(pieces(sentence)):
+            out.setdefault(piece, f"{name}{k or ''}")
+    return out
+
+
+def expanded(rules: list[tuple[str, tuple[str, ...]]], sentences: dict[str, str]) -> list[tuple[str, list[str]]]:
+    """The rules over pieces."""
+    table = known(sentences)
+    return [(name, [table[p] for s in sequence for p in pieces(sentences[s])]) for name, sequence in rules]
 
 
 def identifiers(text: Column, how: str, sentences: dict[str, str] = SENTENCES) -> Column:
@@ -126,7 +138,7 @@ def identifiers(text: Column, how: str, sentences: dict[str, str] = SENTENCES) -
     return F.transform(found, lambda s: F.get(names, (F.array_position(keys, s) - 1).cast("int")))
 
 
-def matched(ids: Column, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> Column:
+def matched(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """The licences whose rules match, in the rules' order; each identifier is used once."""
     rest = F.concat(F.lit(","), F.array_join(F.transform(ids, lambda x: F.concat(x, F.lit(","))), ","))
     # ",A,,B,,C,": neighbours share no comma, so repeated matches side by side are all replaced
@@ -141,7 +153,7 @@ def matched(ids: Column, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> Co
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """id_col, line_ids and wrapped_ids (array of identifiers), licenses (array, sorted)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, rules = F.coalesce(F.col(text_col), F.lit("")), expanded(rules, sentences)
     ids = df.select(F.col(id_col), identifiers(text, "line", sentences).alias("line_ids"), identifiers(text, "wrapped", sentences).alias("wrapped_ids"))
     # most rows have no known sentence: the rules are not evaluated for them
     found = F.when(F.size("line_ids") + F.size("wrapped_ids") > 0, F.array_sort(F.array_union(matched(F.col("line_ids"), rules), matched(F.col("wrapped_ids"), rules))))
@@ -161,7 +173,7 @@ def oracle() -> str:
     ids = lambda how: f"list_transform(list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), {quote(cut[how])}), lambda s: trim(regexp_replace(s, '{OTHER}', ' ', 'g'))), lambda s: list_contains(map_keys(names), s)), lambda s: names[s])"
     steps, hits = {"l": "case when len(l) > 0 then ',' || array_to_string(list_transform(l, lambda x: x || ','), ',') end", "w": "case when len(w) > 0 then ',' || array_to_string(list_transform(w, lambda x: x || ','), ',') end"}, []
     ctes = [f"r0 as (select doc_id, l, w, {steps['l']} as rl, {steps['w']} as rw, []::varchar[] as hits from ids)"]
-    for n, (name, sequence) in enumerate(RULES):
+    for n, (name, sequence) in enumerate(expanded(RULES, SENTENCES)):
         text = quote("".join(f",{x}," for x in sequence))
         ctes.append(f"r{n + 1} as (select doc_id, l, w, replace(rl, {text}, '|') as rl, replace(rw, {text}, '|') as rw, case when coalesce(contains(rl, {text}), false) or coalesce(contains(rw, {text}), false) then list_append(hits, {quote(name)}) else hits end as hits from r{n})")
     return f"with t as (select {names} as names), ids as (select doc_id, {ids('line')} as l, {ids('wrapped')} as w from documents, t), {', '.join(ctes)} select doc_id, cast(len(l) as bigint) as n_sentences, array_to_string(l, ',') as line_ids, array_to_string(w, ',') as wrapped_ids, array_to_string(list_sort(list_distinct(hits)), ',') as licenses from r{len(RULES)}"
