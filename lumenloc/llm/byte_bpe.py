@@ -119,10 +119,19 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets:
         yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "ids", "starts"][: 2 + offsets])
 
 
+def lists(column: pa.ListArray) -> list[list[int]]:
+    """The column's lists; null ones are empty. By way of numpy: Arrow makes each number on its own."""
+    offsets = np.asarray(column.offsets)
+    flat = np.asarray(column.values.slice(offsets[0], offsets[-1] - offsets[0])).tolist()
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    starts = (offsets[:-1] - offsets[0]).tolist()
+    return [flat[a : a + n] for a, n in zip(starts, sizes.tolist(), strict=True)]
+
+
 def decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     c = codec(path, pattern)
     for batch in batches:
-        data = [c.decode(x or []) for x in batch.column("ids").to_pylist()]
+        data = list(map(c.decode, lists(batch.column("ids"))))
         yield batch.append_column("data", pa.array(data, pa.binary()))
 
 
@@ -148,7 +157,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         digits = codec(path, pattern).digits
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in decoded(encoded(batches, path, pattern, False), path, pattern):
-            ids = batch.column(1).to_pylist()
+            ids = lists(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(" ".join(map(digits.__getitem__, x)).encode()) for x in ids]), pa.array([sha(x) for x in batch.column(2).to_pylist()])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(told, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
