@@ -8,15 +8,18 @@ Two documents link when ``den * |intersection| >= num * |union|`` of their sets
   all sizes that its partner's smaller one may have: one or two. Where only empty slots might agree, which needs many
   empty ones, these are tiles too.
 * Equal sets are one set from the start: classes by a 128-bit hash, and a task sends each class once.
-* A tile with two sets is a candidate pair. In larger tiles each set is first compared with the tile's hub, the set that
-  most other tiles share too; verified links make components, and only tiles that still hold several components are
-  worked through in blocks: pairs across components pass if their sizes and bitmaps allow a link, where set bits that
-  the other lacks bound the intersection from above. First the likeliest pair of each two components in a tile, then,
-  over the new components, all pairs that pass and weren't verified.
-* Verification intersects the sorted arrays of 64-bit n-gram hashes.
-
-Rows of (tile, set) travel packed as arrays: a row a task and partition. Large tiles are split into pairs of blocks of
-BLOCK members, so no task holds a whole tile's pairs. Documents' sets are rebuilt from their texts for suspects alone.
+* Tiles of up to SMALL sets give candidate pairs, which must share as many tiles as a linked pair does at least: all its
+  slots but k and those that are empty in both. (A pair with too few may share larger tiles too; it is met there.)
+* In larger tiles each set is first compared with the tile's hub, the set that most other tiles share too. Verified links
+  make components. Sets that larger tiles connect form a group; where a group still has several components, its sets
+  are compared in blocks, each two once: pairs across components pass if their sizes and bitmaps allow a link. Where
+  more than MANY pass in a block, first only each component's likeliest does; once these are verified, a second round
+  over the new components lets all pass that weren't verified.
+* Verification compares bitmaps first: set bits that the other lacks bound the intersection from above. Only the sets of
+  pairs that pass meet, to intersect their sorted arrays of 64-bit n-gram hashes.
+
+Rows of (tile, set) travel packed as arrays: a row a task and partition. Large groups are split into pairs of blocks
+of BLOCK members, so no task holds a whole group's pairs. Documents' sets are rebuilt from their texts for suspects alone.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Repeated rows and ids are kept:
 each row has its own result. A null id never is a component's id unless all its documents have none. Only the id and
@@ -25,6 +28,7 @@ text columns are read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import GOLDEN, blocks, byte_codes, documents, hash_words, joined, mix, shuffle_partitions, staged
+from .shared import GOLDEN, blocks, byte_codes, documents, hash_words, joined, mix, removed, shuffle_partitions, staged
 
 CODES = byte_codes(3)
 WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
-FLUSH = 2_000_000  # (tile, set) entries that a task holds before it sends them
+FLUSH = 1_000_000  # (tile, set) entries that a task holds before it sends them
 SEEN = 300_000  # sets that a task remembers as sent
+SMALL = 16
+PAIRS = 400_000  # that a task holds before it counts and sends them
 BLOCK = 1024
+MANY = 20_000
 BLOOM_BITS = 1 << 27  # at most: 16 MB
 
 
@@ -111,6 +118,11 @@ class Bands:
         k = self.differ(size)
         return np.searchsorted(self.powers, k + k // 16 + 2)
 
+    def shared(self, size: np.ndarray, empty: np.ndarray) -> np.ndarray:
+        """How many filled slots of the smaller set's band two linked sets share at least; empty: the fewer empty slots."""
+        level = self.level(size)
+        return np.maximum(1, self.powers[level] - np.minimum(self.differ(size), self.most[level]) - empty)
+
     def levels(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lowest and highest band; the highest is -1 where only an equal set could link."""
         least = np.maximum(-(-self.num * size // self.den), -(-self.num // max(1, self.den - self.num)))
@@ -118,13 +130,16 @@ class Bands:
         return np.minimum(self.level(least), np.maximum(high, 0)), high
 
 
-def tiles(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each tile that each set belongs to, and the set's place; places ascend within a band."""
+def tiles(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each tile that each set belongs to, the set's place and its number of empty slots.
+
+    The last six bits of a hash are the band. Places ascend within a band.
+    """
     sizes = np.diff(bounds)
     low, high = bands.levels(sizes)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     mixed = mix(flat * np.uint64(0xE7037ED1A0B428DB))
-    out, own = [], []
+    out, own, free = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for down in range(int((high - low).max(initial=0)) + 1):
         level = np.where(high - down >= low, high - down, -1)
         level[high < 0] = -1
@@ -138,19 +153,23 @@ def tiles(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarra
         starts = np.flatnonzero(new)
         d, slot = d[starts], slot[starts]
         key = mix((slot + np.uint64(1)) * GOLDEN + level[d].astype(np.uint64))
-        out.append(mix(np.add.reduceat(mixed[use], starts) ^ key))
-        own.append(d)
-        # sets with so many empty slots that no other may agree
         slots = bands.powers[np.maximum(level, 0)]
         empty = slots - np.bincount(d, minlength=len(sizes))
+        out.append(_banded(mix(np.add.reduceat(mixed[use], starts) ^ key), level[d]))
+        own.append(d)
+        free.append(empty[d])
+        # sets with so many empty slots that no other may agree
         odd = (level > 0) & (empty >= slots - np.minimum(bands.differ(sizes), bands.most[np.maximum(level, 0)]))
         for i in np.flatnonzero(odd).tolist():
-            free = np.setdiff1d(np.arange(slots[i], dtype=np.uint64), slot[d == i])
-            out.append(mix(mix((free + np.uint64(1)) * GOLDEN + np.uint64(level[i])) ^ np.uint64(0x8EBC6AF09C88C6E3)))
-            own.append(np.full(len(free), i))
-    if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(out), np.concatenate(own)
+            gaps = np.setdiff1d(np.arange(slots[i], dtype=np.uint64), slot[d == i])
+            out.append(_banded(mix(mix((gaps + np.uint64(1)) * GOLDEN + np.uint64(level[i])) ^ np.uint64(0x8EBC6AF09C88C6E3)), level[i]))
+            own.append(np.full(len(gaps), i))
+            free.append(np.full(len(gaps), empty[i]))
+    return np.concatenate(out), np.concatenate(own), np.concatenate(free)
+
+
+def _banded(x: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    return (x & ~np.uint64(63)) | np.asarray(level).astype(np.uint64)
 
 
 def bitmap(values: np.ndarray, level: int) -> bytes:
@@ -183,28 +202,33 @@ def set_table(rows: DataFrame, n: int) -> DataFrame:
 
 
 def shared_tiles(rows: DataFrame, n: int, bands: Bands, parts: int) -> DataFrame:
-    """tile, id: members of tiles with three sets or more; tile null, id, other: pairs of sets that share a tile alone."""
+    """tile, id: members of tiles with more than SMALL sets; tile null, id, other: pairs of sets of smaller tiles, how many
+    of a task's tiles they share and how many they must share in all."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            tile, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            tile, ids, size, free = (np.concatenate(x) for x in zip(*held, strict=True))
             part = ((tile >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
             order = np.argsort(part, kind="stable")
-            part, tile, ids = part[order], tile[order], ids[order]
+            part, tile, ids, size, free = part[order], tile[order], ids[order], size[order], free[order]
+            # rows of a set in a part, of at most 65535 tiles each
+            run = np.concatenate([[True], (ids[1:] != ids[:-1]) | (part[1:] != part[:-1]) | (free[1:] != free[:-1])])
+            place = np.arange(len(tile))
+            run |= (place - np.maximum.accumulate(np.where(run, place, 0))) % 65535 == 0
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             for p in range(parts):
                 a, b = cuts[p], cuts[p + 1]
                 if a < b:
-                    own = ids[a:b]
-                    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    for c, v in zip(columns, (p, own[starts].tobytes(), np.diff(np.append(starts, b - a)).astype(np.uint32).tobytes(), tile[a:b].tobytes()), strict=True):
+                    starts = a + np.flatnonzero(run[a:b])
+                    data = (ids[starts], np.diff(np.append(starts, b)).astype(np.uint16), size[starts], free[starts], tile[a:b])
+                    for c, v in zip(columns, (p, *(x.tobytes() for x in data)), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "ids", "counts", "tiles"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "ids", "counts", "sizes", "free", "tiles"])
 
         for batch in blocks(batches, 0):
             flat, bounds = shingles(batch.column(0).to_pylist(), n)
@@ -218,8 +242,8 @@ def shared_tiles(rows: DataFrame, n: int, bands: Bands, parts: int) -> DataFrame
                 seen.clear()
             sizes = np.diff(bounds)
             keep = np.repeat(fresh, sizes)
-            tile, own = tiles(flat[keep], np.concatenate([[0], np.cumsum(sizes[fresh])]), bands)
-            held.append((tile, one[fresh][own]))
+            tile, own, free = tiles(flat[keep], np.concatenate([[0], np.cumsum(sizes[fresh])]), bands)
+            held.append((tile, one[fresh][own], sizes[fresh][own].astype(np.uint32), np.minimum(free, 65535).astype(np.uint16)))
             count += len(tile)
             if count >= FLUSH:
                 yield from flush()
@@ -228,40 +252,69 @@ def shared_tiles(rows: DataFrame, n: int, bands: Bands, parts: int) -> DataFrame
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile_parts, id_parts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        columns: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.uint64, np.uint64, np.uint32, np.uint16)]
         for batch in batches:
-            for ids, counts, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                tile_parts.append(np.frombuffer(own, np.uint64))
-                id_parts.append(np.repeat(np.frombuffer(ids, np.uint64), np.frombuffer(counts, np.uint32)))
-        tile, ids = np.concatenate(tile_parts), np.concatenate(id_parts)
-        del tile_parts, id_parts
+            for ids, counts, sizes, free, own in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                often = np.frombuffer(counts, np.uint16)
+                columns[0].append(np.frombuffer(own, np.uint64))
+                for c, data, kind in zip(columns[1:], (ids, sizes, free), (np.uint64, np.uint32, np.uint16), strict=True):
+                    c.append(np.repeat(np.frombuffer(data, kind), often))
+        tile, ids, size, free = map(np.concatenate, columns)
+        del columns
         order = np.argsort(tile, kind="stable")
-        tile, ids = tile[order], ids[order]
+        tile = tile[order]
         again = np.zeros(len(tile) + 1, bool)
         if len(tile):
             again[1:-1] = tile[1:] == tile[:-1]
         several = again[1:] | again[:-1]
-        tile, ids = tile[several], ids[several]
+        order, tile = order[several], tile[several]
+        ids, size, free = ids[order], size[order].astype(np.int64), free[order].astype(np.int64)
         order = np.lexsort((ids, tile))
-        tile, ids = tile[order], ids[order]
+        tile, ids, size, free = tile[order], ids[order], size[order], free[order]
         new = np.ones(len(tile), bool)
         if len(tile):
             new[1:] = (tile[1:] != tile[:-1]) | (ids[1:] != ids[:-1])
-        tile, ids = tile[new], ids[new]
+        tile, ids, size, free = tile[new], ids[new], size[new], free[new]
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(tile)), bool), tile[1:] != tile[:-1]]))
         counts = np.diff(np.append(starts, len(tile)))
-        two = starts[counts == 2]
-        pairs = np.unique(np.stack([ids[two], ids[two + 1]], axis=1), axis=0)
-        more = np.repeat(counts > 2, counts)
-        null = pa.nulls(len(pairs), pa.int64())
-        names = ["tile", "id", "other"]
-        yield pa.RecordBatch.from_arrays([null, _signed(pairs[:, 0]), _signed(pairs[:, 1])], names=names)
+        names = ["tile", "id", "other", "shared", "least"]
+        held: list[np.ndarray] = []
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            pairs = np.concatenate(held)
+            held.clear()
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            at = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]))
+            often, pairs = np.diff(np.append(at, len(pairs))), pairs[at]
+            for k in range(0, len(pairs), 1 << 16):
+                part = pairs[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), _signed(part[:, 0]), _signed(part[:, 1]), pa.array(often[k : k + (1 << 16)]), _signed(part[:, 2])], names=names)
+
+        for n in range(2, SMALL + 1):
+            every = starts[counts == n]
+            for first in (every[k : k + PAIRS // 8] for k in range(0, len(every), PAIRS // 8)):
+                band = (tile[first] & np.uint64(63)).astype(np.int64)
+                for i, j in itertools.combinations(range(n), 2):
+                    p, q = first + i, first + j
+                    small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+                    # a pair is held to what it shares in the smaller one's band
+                    good = (bands.den * small >= bands.num * large) & (bands.level(small) == band)
+                    p, q, small = p[good], q[good], small[good]
+                    empty = np.minimum(free[p], free[q])
+                    least = np.where(empty == 65535, 1, bands.shared(small, empty))
+                    held.append(np.stack([ids[p].view(np.int64), ids[q].view(np.int64), least], axis=1))
+                    if sum(map(len, held)) > PAIRS:
+                        yield from counted()
+        if held:
+            yield from counted()
+        more = np.repeat(counts > SMALL, counts)
         tile, ids = tile[more], ids[more]
         for a in range(0, len(tile), 1 << 16):
-            yield pa.RecordBatch.from_arrays([_signed(tile[a : a + (1 << 16)]), _signed(ids[a : a + (1 << 16)]), pa.nulls(len(tile[a : a + (1 << 16)]), pa.int64())], names=names)
+            part = tile[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([_signed(part), _signed(ids[a : a + (1 << 16)]), *[pa.nulls(len(part), pa.int64())] * 3], names=names)
 
-    sent = rows.select("text").mapInArrow(send, "part int, ids binary, counts binary, tiles binary")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "tile long, id long, other long")
+    sent = rows.select("text").mapInArrow(send, "part int, ids binary, counts binary, sizes binary, free binary, tiles binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "tile long, id long, other long, shared long, least long")
 
 
 def bloom(ids: DataFrame) -> np.ndarray:
@@ -277,6 +330,15 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def probed(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys the Bloom filter may hold."""
+    bits = np.int64(len(table) * 64)
+    hit = np.ones(len(key), bool)
+    for k in (key, key >> 32):
+        hit &= (table[np.mod(k, bits) >> 6] >> (np.mod(k, 64)).astype(np.uint64)) & np.uint64(1) == 1
+    return hit
+
+
 def suspects(rows: DataFrame, table: DataFrame, ids: DataFrame, n: int, bands: Bands) -> DataFrame:
     """id, two, size, items (sorted hashes) and bits of every set whose id is in ids, maybe of a few others.
 
@@ -287,14 +349,8 @@ def suspects(rows: DataFrame, table: DataFrame, ids: DataFrame, n: int, bands: B
     words = spark.sparkContext.broadcast(bloom(chosen.select("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = words.value
-        bits = np.int64(len(table) * 64)
         for batch in batches:
-            key = np.asarray(batch.column(1))
-            hit = np.ones(len(key), bool)
-            for k in (key, key >> 32):
-                at = np.mod(k, bits)
-                hit &= (table[at >> 6] >> (np.mod(k, 64)).astype(np.uint64)) & np.uint64(1) == 1
+            hit = probed(words.value, np.asarray(batch.column(1)))
             if not hit.any():
                 continue
             for part in blocks(iter([batch.filter(pa.array(hit))]), 0):
@@ -309,29 +365,46 @@ def suspects(rows: DataFrame, table: DataFrame, ids: DataFrame, n: int, bands: B
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with their hashes two, where the sets link: bit counts first, then the sorted arrays."""
-    left = sets.select(*[F.col(c).alias(f"{c}_a") for c in sets.columns])
-    right = sets.select(*[F.col(c).alias(f"{c}_b") for c in sets.columns])
-    rows = pairs.join(right, F.col("b") == F.col("id_b")).join(left, F.col("a") == F.col("id_a"))
+    """pairs (a, b) with their hashes two, where the sets link: bit counts first, then the sorted arrays.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The joins are sort-merge joins at every size; a Bloom filter of the pairs that pass the bit counts keeps other sets
+    from moving.
+    """
+    with_sets = lambda rows, own, *columns: rows.join(own.select(*[F.col(c).alias(f"{c}_b") for c in ("id", *columns)]).hint("merge"), F.col("b") == F.col("id_b")).join(own.select(*[F.col(c).alias(f"{c}_a") for c in ("id", *columns)]).hint("merge"), F.col("a") == F.col("id_a")).select("a", "b", *[f"{c}_{k}" for c in columns for k in "ab"])  # noqa: E731, E501
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y, p, q) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4, 8)), strict=True)):
-                s, t = len(x) // 8, len(y) // 8
+            for i, (s, t, p, q) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)):
                 size = min(len(p), len(q))
                 c, d = folded(p, size), folded(q, size)
                 bound = min(s - int(np.bitwise_count(c & ~d).sum()), t - int(np.bitwise_count(d & ~c).sum()))
-                if den * bound < num * (s + t - bound):
-                    continue
+                keep[i] = den * bound >= num * (s + t - bound)
+            if keep.any():
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    rows = staged(with_sets(pairs, sets, "size", "bits").mapInArrow(likely, "a long, b long"), "likely")
+    words = pairs.sparkSession.sparkContext.broadcast(bloom(rows.select(F.col("a").alias("key")).unionAll(rows.select("b")).distinct()))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = probed(words.value, np.asarray(batch.column(0)))
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(v, u), t - 1)
+                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
                 both = int((v[at] == u).sum())
-                keep[i] = den * both >= num * (s + t - both)
+                keep[i] = den * both >= num * (len(u) + len(v) - both)
             if keep.any():
                 yield batch.select(["a", "b", "two_a", "two_b"]).filter(pa.array(keep))
 
-    return rows.select("a", "b", "two_a", "two_b", "items_a", "items_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, two_a long, two_b long")
+    own = sets.select("id", "two", "items").mapInArrow(needed, "id long, two long, items binary")
+    return with_sets(rows, own, "two", "items").mapInArrow(linked, "a long, b long, two_a long, two_b long")
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
@@ -342,54 +415,64 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return members.join(hubs, "tile").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
 
-def tile_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, likeliest: bool) -> DataFrame:
-    """Pairs across components within a tile that sizes and bitmaps let through; likeliest: one for two components."""
-    named = members.join(labels, F.col("id") == F.col("node"), "left").select("tile", "id", F.coalesce("root", "id").alias("component"))
-    mixed = named.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("tile", ((F.col("n") + BLOCK - 1) / BLOCK).cast("int").alias("g"))
-    rows = named.join(mixed, "tile").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+def group_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, many: int | None) -> DataFrame:
+    """Pairs (a, b) across components within a group that sizes and bitmaps let through, and whether others were left
+    out (cut): where more than many pass in a pair of blocks, each component's likeliest stands for them.
+
+    groups: node and root.
+    """
+    named = groups.select(F.col("node").alias("id"), F.col("root").alias("group")).join(labels, F.col("id") == F.col("node"), "left").select("group", "id", F.coalesce("root", "id").alias("component"))
+    mixed = named.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("group", ((F.col("n") + BLOCK - 1) / BLOCK).cast("int").alias("g"))
+    rows = named.join(mixed, "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     rows = rows.join(sets.select("id", "size", "bits").dropDuplicates(["id"]), "id")
-    # a tile of g blocks is worked through as pairs of blocks; a member goes to the g pairs of its block
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("tile", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "component", "size", "bits")
-    rows = rows.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
+    # a group of g blocks is worked through as pairs of blocks; a member goes to the g pairs of its block
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("group", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "component", "size", "bits")
+    rows = rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
 
-    def compare(group: pa.Table) -> Iterator[tuple[int, int]]:
+    def compare(group: pa.Table) -> tuple[list[tuple[int, int]], bool]:
         x, y = group["x"][0].as_py(), group["y"][0].as_py()
+        group = group.take(pa.array(np.argsort(np.asarray(group["size"].combine_chunks()), kind="stable")))
         own, ids, component, size = (np.asarray(group[c].combine_chunks()) for c in ("own", "id", "component", "size"))
         data = group["bits"].to_pylist()
-        width = min(map(len, data))
-        bits = np.stack([folded(b, width) for b in data])
-        found: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for i in range(len(ids)):
-            other = np.arange(i + 1, len(ids))
-            if x != y:
-                other = other[own[other] != own[i]]
-            small, large = np.minimum(size[i], size[other]), np.maximum(size[i], size[other])
-            other = other[(component[other] != component[i]) & (den * small >= num * large)]
-            if not len(other):
-                continue
-            there = bits[other]
-            bound = np.minimum(size[i] - np.bitwise_count(bits[i] & ~there).sum(axis=1, dtype=np.int64), size[other] - np.bitwise_count(there & ~bits[i]).sum(axis=1, dtype=np.int64))
-            union = size[i] + size[other] - bound
-            may = den * bound >= num * union
-            for j, like in zip(other[may].tolist(), (bound[may] / union[may]).tolist(), strict=True):
-                pair = (min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])))
-                if not likeliest:
-                    yield pair
+        widths = np.fromiter(map(len, data), np.int64, len(data))
+        every: list[tuple[int, int]] = []
+        best: dict[int, tuple[float, int, int]] = {}
+        cut = False
+        for width in np.unique(widths).tolist():
+            # the smaller set of a pair has this width; larger sets' maps are folded to it, so no map is overfull
+            most = den * int(size[widths == width].max()) // num
+            pick = np.flatnonzero((widths >= width) & (size <= most))
+            bits = np.stack([folded(data[k], width) for k in pick])
+            for at in np.flatnonzero(widths[pick] == width).tolist():
+                i = pick[at]
+                rest = np.arange(at + 1, len(pick))
+                other = pick[rest]
+                good = (component[other] != component[i]) & (num * size[other] <= den * size[i])
+                if x != y:
+                    good &= own[other] != own[i]
+                rest, other = rest[good], other[good]
+                if not len(other):
                     continue
-                key = (min(int(component[i]), int(component[j])), max(int(component[i]), int(component[j])))
-                found[key] = max(found.get(key, (-1.0, 0, 0)), (like, *pair))
-        yield from (v[1:] for v in found.values())
+                there = bits[rest]
+                bound = np.minimum(size[i] - np.bitwise_count(bits[at] & ~there).sum(axis=1, dtype=np.int64), size[other] - np.bitwise_count(there & ~bits[at]).sum(axis=1, dtype=np.int64))
+                union = size[i] + size[other] - bound
+                may = den * bound >= num * union
+                for j, like in zip(other[may].tolist(), (bound[may] / union[may]).tolist(), strict=True):
+                    pair = (min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])))
+                    if not cut:
+                        every.append(pair)
+                        cut = many is not None and len(every) > many
+                    if many is not None:
+                        for c in (int(component[i]), int(component[j])):
+                            best[c] = max(best.get(c, (-1.0, 0, 0)), (like, *pair))
+        return (list(dict.fromkeys(v[1:] for v in best.values())), True) if cut else (every, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
-
         def out(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            new = [p for p in compare(group) if p not in done]
-            if len(done) > FLUSH // 10:
-                done.clear()
-            done.update(new)
-            if new:
-                yield pa.RecordBatch.from_arrays(list(map(_signed, np.array(list(dict.fromkeys(new)), np.int64).T)), names=["a", "b"])
+            found, cut = compare(group)
+            for k in range(0, len(found), 1 << 16):
+                part = np.array(found[k : k + (1 << 16)], np.int64)
+                yield pa.RecordBatch.from_arrays([_signed(part[:, 0]), _signed(part[:, 1]), pa.array(np.full(len(part), cut))], names=["a", "b", "cut"])
 
         held: list[pa.RecordBatch] = []
         last = None
@@ -408,7 +491,7 @@ def tile_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int,
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, cut boolean")
 
 
 def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,18 +502,29 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     table = staged(set_table(rows, n), "sets")
     met = staged(shared_tiles(rows, n, bands, parts), "tiles")
     members = met.where("tile is not null").select("tile", "id")
-    tried = staged(met.where("tile is null").select(F.col("id").alias("a"), F.col("other").alias("b")).unionAll(hub_pairs(members)).distinct(), "pairs")
-    sets = suspects(rows, table, met.select("id").unionAll(met.where("other is not null").select("other")).distinct(), n, bands)
+    # ids ascend within a tile, so a pair is the same way round in each
+    small = met.where("tile is null").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
+    hubs = staged(hub_pairs(members).distinct(), "hubs")
+    groups = components(hubs, "a", "b")
+    tried = staged(small.unionAll(hubs).distinct(), "pairs")
+    sets = suspects(rows, table, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(members.select("id")).distinct(), n, bands)
     links = staged(verified(tried, sets, num, den), "links")
     labels = components(links, "a", "b")
-    for likeliest in (True, False):
-        more = staged(tile_pairs(members, labels, sets, num, den, likeliest).join(tried, ["a", "b"], "left_anti"), "pairs")
+    for many in (MANY, None):
+        met_again = staged(group_pairs(groups, labels, sets, num, den, many), "pairs")
+        again = not met_again.where("cut").isEmpty()
+        more = staged(met_again.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
-            continue
+            if again:
+                continue
+            break
         found = staged(verified(more, sets, num, den), "links")
         tried, links = tried.unionAll(more), links.unionAll(found)
         if not found.isEmpty():
             labels = components(links, "a", "b")
+        if not again:
+            break
+    removed(met, sets)
     # nodes by both hashes, so that a document with half of another's hash isn't taken for it
     nodes = links.select(F.col("a").alias("one"), F.col("two_a").alias("two")).unionAll(links.select("b", "two_b")).distinct()
     classes = table.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("first"))
