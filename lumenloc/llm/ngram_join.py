@@ -46,7 +46,7 @@ FLUSH = 1_000_000  # (tile, set) entries that a task holds before it sends them
 SEEN = 300_000  # sets that a task remembers as sent
 SMALL = 16
 PAIRS = 400_000  # that a task holds before it counts and sends them
-BLOCK = 1024
+BLOCK = 4096
 MANY = 20_000
 BLOOM_BITS = 1 << 27  # at most: 16 MB
 
