@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns plus a battery of randomness tests.
 
 Base spans come from three patterns. The method adds spans of kind "random": runs of 20 or more characters of
-[A-Za-z0-9+/_=-] that look drawn at random from the alphabet of their inferred encoding. Each candidate gets
+[A-Za-z0-9+/_=-] that look drawn at random from the alphabet of their inferred encoding. "=" belongs to a run only as
+padding at its end; elsewhere it cuts, so in name=value the value is a candidate of its own. Each candidate gets
 
 * a chi-squared test of uniform use of that alphabet, a runs test about the alphabet's middle and a lag-one serial
   correlation test; one that any of them rejects at ``level`` / 3 is no secret;
@@ -34,7 +35,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORD = re.compile(r"pass|secret|token|api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: "=" that another sign follows is no padding. Shorter ones than 20 signs, padding included, are left out later.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 
 #: Per mille of letters in ordinary prose, a to z.
 LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
@@ -44,6 +46,7 @@ ALPHABETS = {
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "lower": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -103,6 +106,8 @@ def tests(token: str, name: str) -> tuple[float, float, float]:
 
 def text_p(token: str, name: str) -> float:
     body = token.rstrip("=")
+    if name == "upper":  # here ordinary text is text in capitals
+        body = body.lower()
     ratio = sum(map(TEXT.__getitem__, body)) + len(body) * math.log(len(ALPHABETS[name]))
     return min(1.0, math.exp(min(0.0, ratio)))
 
@@ -112,7 +117,7 @@ def random_spans(text: str, level: float = 0.01, fdr: float = 0.001) -> list[tup
     found = []
     for m in CANDIDATE.finditer(text):
         token = m.group()
-        if (name := encoding(token)) is None or len(token.rstrip("=")) < 16:
+        if len(token) < 20 or (name := encoding(token)) is None:
             continue
         p = 1.0 if min(tests(token, name)) < level / 3 else text_p(token, name)
         found.append((p, m.start(), m.end(), name))

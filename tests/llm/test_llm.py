@@ -330,6 +330,31 @@ def test_random_spans():
     assert sum(bool(secret_scan.random_spans(s)) for s in plain) < 0.005 * len(plain)
 
 
+def test_random_values_after_names():
+    rnd = random.Random(10)
+    for name in ("auth=", "sig=", "key=", "client_id=", "a=b=", "https://host/x?sig=", "=="):
+        values = [base64.b64encode(rnd.randbytes(n)).decode() for n in (30, 31, 32) for _ in range(60)]
+        found = [[(a, b) for a, b, _ in secret_scan.random_spans(f"x {name}{v} y")] for v in values]
+        assert sum(spans == [(2 + len(name), 2 + len(name) + len(v))] for spans, v in zip(found, values, strict=True)) > 0.95 * len(values)
+        alone = [[(a + len(name), b + len(name)) for a, b, _ in secret_scan.random_spans(f"x {v} y")] for v in values]
+        assert found == alone
+    # the value before "=" is cut off too, without the sign
+    assert [x[:2] for x in secret_scan.random_spans("x q7Xw2LpR9vTz4KdM8sYb3HfG=other y")] == [(2, 26)]
+    assert secret_scan.random_spans("first_long_name=second_long_name=third_long_name internationalization=enabled") == []
+
+
+def test_random_upper_case_tokens():
+    rnd = random.Random(11)
+    for size in (24, 40, 48, 64):
+        tokens = ["".join(rnd.choices(secret_scan.ALPHABETS["upper"], k=size)) for _ in range(400)]
+        assert sum(secret_scan.random_spans(f"x {t} y") != [] for t in tokens) > 0.95 * len(tokens)
+        text, spans = f"sig={tokens[0]}", [(4, 4 + size, "random")]
+        assert secret_scan.all_spans(text) == ([], spans)
+        assert secret_scan.redacted(text, spans) == "sig=<SECRET>"
+    capitals = ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", secret_scan.LETTERS, k=rnd.randint(20, 60))) + rnd.choice(["0", "1989"]) for _ in range(2000)]
+    assert sum(bool(secret_scan.random_spans(s)) for s in capitals) < 0.005 * len(capitals)
+
+
 def test_secrets_odd(odd, none):
     out = secret_scan.scan_secrets(odd)
     assert set(out.columns) == set(odd.columns)
