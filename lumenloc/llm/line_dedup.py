@@ -1,16 +1,17 @@
 """Line dedup over overlapping windows of three lines.
 
 Every three consecutive lines of a text, trimmed of spaces, tabs and carriage returns, form a window with a 128-bit
-hash; windows of blank lines only don't count. A window's first occurrence in the order of (id, position) stays; the
-lines of every later one are covered, and covered positions are merged and removed. Texts of fewer than three lines have
-no window and stay as they are.
+hash; windows of blank lines only don't count. A window's first occurrence in the order of (id, text hash, position)
+stays; the lines of every later one are covered, and covered positions are merged and removed. Texts of fewer than three
+lines have no window and stay as they are.
 
 Windows, not texts, are grouped: the first occurrence is a minimum that is pre-aggregated before it moves, so a window
 that a third of all documents share costs one row a task; the join that finds later occurrences is split by adaptive
 execution where a window is hot. Texts move once, to meet their covered positions.
 
-A null text stays null with 0 lines; an empty one is one empty line. Rows that repeat an id count as one document: the
-same position in each of them is the same occurrence. A null id comes first.
+A null text stays null with 0 lines; an empty one is one empty line. Rows that repeat an id with its text count as one
+document: the same position in each of them is the same occurrence. Different texts of one id, null or not, are
+different documents. A null id comes first.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,22 +30,27 @@ LINES = 3
 BLANK = " \t\r"
 
 
+def text_hash(text_col: str) -> Column:
+    """128 bits, which tell the texts of one id apart."""
+    return F.struct(F.xxhash64(text_col).alias("one"), F.xxhash64(F.lit(LINES), text_col).alias("two"))
+
+
 def windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, pos, one, two: a row a window."""
+    """id, text (its hash), pos, one, two: a row a window."""
     lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.btrim(x, F.lit(BLANK)))
-    rows = df.select(F.col(id_col).alias("id"), lines.alias("lines")).where(F.size("lines") >= LINES)
+    rows = df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text"), lines.alias("lines")).where(F.size("lines") >= LINES)
     own = lambda i: [F.get("lines", i + k) for k in range(LINES)]
     hashed = F.transform(F.sequence(F.lit(0), F.size("lines") - LINES), lambda i: F.when(F.concat(*own(i)) != "", F.struct(i.alias("pos"), F.xxhash64(*own(i)).alias("one"), F.xxhash64(F.lit(LINES), *own(i)).alias("two"))))
-    return rows.select("id", F.explode(F.array_compact(hashed)).alias("w")).select("id", "w.pos", "w.one", "w.two")
+    return rows.select("id", "text", F.explode(F.array_compact(hashed)).alias("w")).select("id", "text", "w.pos", "w.one", "w.two")
 
 
 def later_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the sorted positions of the windows that occurred before."""
+    """id, text (its hash) and the sorted positions of the windows that occurred before."""
     rows = windows(df, id_col, text_col)
-    place = F.struct("id", "pos")
+    place = F.struct("id", "text", "pos")
     # the count is of places, so that a repeated row isn't a second occurrence; it is only over one if max differs
     first = rows.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("one", "two", "first")
-    return rows.join(first, ["one", "two"]).where(place != F.col("first")).groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    return rows.join(first, ["one", "two"]).where(place != F.col("first")).groupBy("id", "text").agg(F.array_sort(F.collect_set("pos")).alias("at"))
 
 
 def spans(at: list[int]) -> list[tuple[int, int]]:
@@ -61,8 +67,8 @@ def spans(at: list[int]) -> list[tuple[int, int]]:
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the text's later repeats removed, n_lines and n_removed; columns of those names are replaced."""
     df = df.drop("n_lines", "n_removed", "_id", "_at")
-    later = later_windows(df, id_col, text_col).select(F.col("id").alias("_id"), F.col("at").alias("_at"))
-    rows = df.join(later, df[id_col].eqNullSafe(F.col("_id")), "left").drop("_id")
+    later = later_windows(df, id_col, text_col).select(F.struct("id", "text").alias("_id"), F.col("at").alias("_at"))
+    rows = df.join(later, df[id_col].eqNullSafe(F.col("_id.id")) & (text_hash(text_col) == F.col("_id.text")), "left").drop("_id")
     at = df.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

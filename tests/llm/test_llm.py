@@ -572,6 +572,18 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted(r.text for r in line_dedup.drop_repeated_lines(df).collect()) == ["a\nb\nc", "a\nb\nc", "d"]
 
 
+def test_texts_of_one_id_are_different_documents(spark):
+    """Of null or repeated ids: no text loses lines that repeat in another one only, and shared windows go once."""
+    for i in (None, 1):
+        rows = [(0, "a\nb\nc"), (i, "a\nb\nc\nown"), (i, "x\ny\nz\nw"), (i, "x\ny\nz\nv"), (i, "x\ny\nz\nv"), (i, "p\nq\nr\ns\nt")]
+        found = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        got = sorted((r.text, r.n_lines, r.n_removed) for r in found.collect())
+        ends = [("w", "x\ny\nz\nv", "x\ny\nz\nv"), ("v", "v", "x\ny\nz\nw")]
+        # the null id comes first, and so keeps a, b, c
+        abc = [("a\nb\nc\nown", 4, 0), ("", 3, 3)] if i is None else [("a\nb\nc", 3, 0), ("own", 4, 3)]
+        assert got in [sorted([*abc, ("p\nq\nr\ns\nt", 5, 0), *((t, 4, 3 if len(t) == 1 else 0) for t in e)]) for e in ends]
+
+
 # ---- 10
 
 
