@@ -29,7 +29,7 @@ text columns are read.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ PAIRS = 400_000  # that a task holds before it counts and sends them
 BLOCK = 4096
 MANY = 20_000
 BLOOM_BITS = 1 << 27  # at most: 16 MB
+#: From texts to the sorted distinct 64-bit elements of their sets in a row, and each set's bounds.
+Sets = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
 
 
 def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,19 +191,19 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def set_table(rows: DataFrame, n: int) -> DataFrame:
+def set_table(rows: DataFrame, sets: Sets) -> DataFrame:
     """doc_id, n_shingles and the set's hashes one and two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            flat, bounds = shingles(batch.column(1).to_pylist(), n)
+            flat, bounds = sets(batch.column(1).to_pylist())
             one, two = set_hashes(flat, bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), _signed(one), _signed(two)], names=["doc_id", "n_shingles", "one", "two"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, one long, two long")
 
 
-def shared_tiles(rows: DataFrame, n: int, bands: Bands, parts: int) -> DataFrame:
+def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataFrame:
     """tile, id: members of tiles with more than SMALL sets; tile null, id, other: pairs of sets of smaller tiles, how many
     of a task's tiles they share and how many they must share in all."""
 
@@ -231,7 +233,7 @@ def shared_tiles(rows: DataFrame, n: int, bands: Bands, parts: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "ids", "counts", "sizes", "free", "tiles"])
 
         for batch in blocks(batches, 0):
-            flat, bounds = shingles(batch.column(0).to_pylist(), n)
+            flat, bounds = sets(batch.column(0).to_pylist())
             one, _ = set_hashes(flat, bounds)
             fresh = np.zeros(len(one), bool)
             for i, h in enumerate(one.tolist()):
@@ -339,7 +341,7 @@ def probed(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     return hit
 
 
-def suspects(rows: DataFrame, table: DataFrame, ids: DataFrame, n: int, bands: Bands) -> DataFrame:
+def suspects(rows: DataFrame, table: DataFrame, ids: DataFrame, sets: Sets, bands: Bands) -> DataFrame:
     """id, two, size, items (sorted hashes) and bits of every set whose id is in ids, maybe of a few others.
 
     One document a set is worked on; a Bloom filter of those documents spares the others' texts a shuffle.
@@ -354,7 +356,7 @@ def suspects(rows: DataFrame, table: DataFrame, ids: DataFrame, n: int, bands: B
             if not hit.any():
                 continue
             for part in blocks(iter([batch.filter(pa.array(hit))]), 0):
-                flat, bounds = shingles(part.column(0).to_pylist(), n)
+                flat, bounds = sets(part.column(0).to_pylist())
                 one, two = set_hashes(flat, bounds)
                 sizes = np.diff(bounds)
                 level = bands.levels(sizes)[1]
@@ -364,8 +366,9 @@ def suspects(rows: DataFrame, table: DataFrame, ids: DataFrame, n: int, bands: B
     return staged(rows.select("text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "id long, two long, size long, items binary, bits binary"), "suspects")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with their hashes two, where the sets link: bit counts first, then the sorted arrays.
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Callable[[np.ndarray, np.ndarray], bool] | None = None) -> DataFrame:
+    """pairs (a, b) with their hashes two, where the sets link: bit counts first, then the sorted arrays, by ``alike``
+    if it is given.
 
     The joins are sort-merge joins at every size; a Bloom filter of the pairs that pass the bit counts keeps other sets
     from moving.
@@ -397,6 +400,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if alike is not None:
+                    keep[i] = alike(u, v)
+                    continue
                 at = np.minimum(np.searchsorted(v, u), len(v) - 1)
                 both = int((v[at] == u).sum())
                 keep[i] = den * both >= num * (len(u) + len(v) - both)
@@ -496,19 +502,24 @@ def group_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, num: int,
 
 def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links reach."""
+    return set_components(df, lambda texts: shingles(texts, n), num, den, id_col, text_col)
+
+
+def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", alike: Callable[[np.ndarray, np.ndarray], bool] | None = None) -> DataFrame:
+    """The same over any sets of 64-bit hashes that ``cut`` makes of texts; ``alike`` is the link's test in other words."""
     spark = df.sparkSession
     bands, parts = Bands(num, den), shuffle_partitions(spark)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = staged(set_table(rows, n), "sets")
-    met = staged(shared_tiles(rows, n, bands, parts), "tiles")
+    table = staged(set_table(rows, cut), "sets")
+    met = staged(shared_tiles(rows, cut, bands, parts), "tiles")
     members = met.where("tile is not null").select("tile", "id")
     # ids ascend within a tile, so a pair is the same way round in each
     small = met.where("tile is null").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
     hubs = staged(hub_pairs(members).distinct(), "hubs")
     groups = components(hubs, "a", "b")
     tried = staged(small.unionAll(hubs).distinct(), "pairs")
-    sets = suspects(rows, table, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(members.select("id")).distinct(), n, bands)
-    links = staged(verified(tried, sets, num, den), "links")
+    sets = suspects(rows, table, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(members.select("id")).distinct(), cut, bands)
+    links = staged(verified(tried, sets, num, den, alike), "links")
     labels = components(links, "a", "b")
     for many in (MANY, None):
         met_again = staged(group_pairs(groups, labels, sets, num, den, many), "pairs")
@@ -518,7 +529,7 @@ def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             if again:
                 continue
             break
-        found = staged(verified(more, sets, num, den), "links")
+        found = staged(verified(more, sets, num, den, alike), "links")
         tried, links = tried.unionAll(more), links.unionAll(found)
         if not found.isEmpty():
             labels = components(links, "a", "b")

@@ -1,9 +1,12 @@
 """Document fingerprints: SpotSigs.
 
 A signature is a common word (the anchor) with the chain of the next CHAIN content words after it; a document's
-fingerprint is its set of distinct signatures. Sets are partitioned by length, as only sets whose lengths are within the
-threshold's ratio can be alike, and compared by Jaccard with pruning: the lengths bound the likeness from above, and the
-intersection stops once the rest can't reach the threshold.
+fingerprint is its set of distinct signatures. ``op6_spotsigs`` compares each text with its edited form and its
+neighbour. ``near_classes`` finds all pairs at the threshold and joins them to classes: sets are partitioned by length,
+as only sets whose lengths are within the threshold's ratio can be alike, and compared by Jaccard with pruning: the
+lengths bound the likeness from above, and the intersection stops once the rest can't reach the threshold. Its
+partitions are the size bands of the n-gram join, whose tiles say which sets of neighbouring lengths meet, without loss,
+and which splits hot groups into blocks.
 
 Words are maximal runs of ASCII letters and digits and of non-ASCII characters, in lower case. The last anchors of a
 text, with fewer than CHAIN content words after them, chain what is left. In a stretch of more than GAP words without an
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngram_join import set_components
 from .shared import GOLDEN, blocks, byte_codes, documents, hash_words, joined, mix, shuffle_partitions
 
 CHAIN = 2
@@ -135,6 +139,24 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, signatures array<int>, length_partition int")
 
 
+def signature_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints in a row, their signatures spread over 64 bits one to one, and each one's bounds."""
+    parts = [np.sort(mix(x.astype(np.uint64) * GOLDEN)) for x in fingerprints([x or "" for x in texts])]
+    return np.concatenate([np.empty(0, np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
+
+
+def near_classes(df: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_signatures, class_id: the smallest id that pairs of likeness num / den or more reach.
+
+    A row a row of df; a null id is a class's only if it has no other. Empty fingerprints are one class.
+    """
+    threshold = num / den
+    out = set_components(df, signature_sets, num, den, id_col, text_col, lambda a, b: likeness(a, b, threshold) >= threshold)
+    out = out.select("doc_id", F.col("n_shingles").alias("n_signatures"), F.col("component_id").alias("class_id"))
+    empty = F.broadcast(out.where("n_signatures = 0").agg(F.min("doc_id").alias("empty")))
+    return out.crossJoin(empty).select("doc_id", "n_signatures", F.when(F.col("n_signatures") == 0, F.col("empty")).otherwise(F.col("class_id")).alias("class_id"))
+
+
 def with_next(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (doc_id, text) by descending doc_id with the next one's text; the last is followed by the first.
 
@@ -214,3 +236,7 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return with_next(documents(spark, sf_dir)).mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def op6_spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(documents(spark, sf_dir))

@@ -426,6 +426,52 @@ def test_pruned_likeness():
             assert t == s + 1
 
 
+def brute_classes(rows, threshold):
+    """id to the smallest id of its class, by all pairs."""
+    own = [(i, set(x.tolist())) for (i, _), x in zip(rows, spotsigs.fingerprints([t or "" for _, t in rows]), strict=True)]
+    group = {i: {i} for i, _ in own}
+    for (i, a), (j, b) in itertools.combinations(own, 2):
+        if (len(a & b) / len(a | b) if a | b else 1.0) >= threshold and group[i] is not group[j]:
+            both = group[i] | group[j]
+            for x in both:
+                group[x] = both
+    return {i: (len(a), min(group[i])) for i, a in own}
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (60, 100)])
+def test_near_classes(spark, monkeypatch, num, den):
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rnd = random.Random(12)
+    words = [*WORDS, *rnd.choices(spotsigs.ANCHORS, k=300)]
+    texts = [None, "", " . ", "the"]
+    for _ in range(40):
+        base = rnd.choices(words, k=rnd.choice([3, 10, 40, 120]))
+        texts += [" ".join(base)] * 2
+        for _ in range(rnd.randint(0, 8)):
+            base[rnd.randrange(len(base))] = rnd.choice(words)
+            texts.append(" ".join(base))
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    found = spotsigs.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), num, den).collect()
+    expected = brute_classes(rows, num / den)
+    assert len(found) == len(rows)
+    assert {r.doc_id: (r.n_signatures, r.class_id) for r in found} == expected
+    assert len({c for _, c in expected.values()}) < len({t for t in texts}) - 20
+
+
+def test_near_classes_query(spark, sf_dir, texts):
+    found = {r.doc_id: (r.n_signatures, r.class_id) for r in registry.QUERIES["op6_spotsigs_classes"](spark, sf_dir).collect()}
+    assert found == brute_classes(sorted(texts.items()), 0.8)
+
+
+def test_near_classes_odd(odd, none):
+    rows = spotsigs.near_classes(odd).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in odd.collect())
+    assert {r.class_id for r in rows if r.n_signatures == 0} == {0}
+    assert spotsigs.near_classes(none).collect() == []
+
+
 # ---- 7
 
 
