@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,45 @@ from pyspark.sql import types as T
 from .shared import blocks, documents
 from .word_cache import TOGETHER_BYTES, ChunkEncoder
 
-#: A space or line feed beside other white space; a text without one may be cut before each of them.
-RUN = re.compile(r"[ \n]\s|\s[ \n]")
+#: White space of two and three bytes in UTF-8, as a prefix and the range of its last byte.
+WIDE_SPACES = ((0xC2, 0x85, 0x85), (0xC2, 0xA0, 0xA0), (0xE19A, 0x80, 0x80), (0xE280, 0x80, 0x8A), (0xE280, 0xA8, 0xA9), (0xE280, 0xAF, 0xAF), (0xE281, 0x9F, 0x9F), (0xE380, 0x80, 0x80))
+SPACE = np.zeros(256, bool)
+SPACE[[*range(9, 14), *range(28, 33)]] = True
+
+
+def chunks(column: pa.Array) -> pa.ListArray:
+    """Each text cut before every space or line feed that stands between two characters that aren't white space.
+
+    There a piece of the pattern always starts, whatever else the text holds, and what follows is cut into pieces on its
+    own. Byte work over the whole batch: the chunks are slices of the column's own buffer.
+    """
+    column = pc.fill_null(column, "")
+    n = len(column)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8)
+    at = at - at[0]
+    buf = np.concatenate([np.zeros(3, np.uint8), raw, np.zeros(4, np.uint8)])
+    cuts = np.flatnonzero((raw == 32) | (raw == 10)) + 3
+    cuts = cuts[~SPACE[buf[cuts - 1]] & ~SPACE[buf[cuts + 1]]]
+    wide = np.flatnonzero((buf[cuts - 1] >= 128) | (buf[cuts + 1] >= 128))
+    spaced = np.zeros(len(cuts), bool)
+    near = {d: buf[cuts[wide] + d].astype(np.int32) for d in (-3, -2, -1, 1, 2, 3)}
+    for prefix, low, high in WIDE_SPACES:
+        for places in ((-3, -2, -1), (1, 2, 3)):
+            own = [near[d] for d in (places if prefix > 255 else places[1:] if places[0] < 0 else places[:2])]
+            lead = own[0] if prefix < 256 else own[0] << 8 | own[1]
+            spaced[wide] |= (lead == prefix) & (own[-1] >= low) & (own[-1] <= high)
+    cuts = cuts[~spaced] - 3
+    # neither the first nor the last byte of a text has two neighbours in it
+    own = np.searchsorted(at, cuts, "right") - 1
+    inside = (cuts > at[own]) & (cuts + 1 < at[np.minimum(own + 1, n)])
+    cuts, own = cuts[inside], own[inside]
+    filled = np.flatnonzero(np.diff(at) > 0)
+    edges = np.append(np.sort(np.concatenate([at[filled], cuts]), kind="stable"), len(raw))
+    per = np.bincount(own, minlength=n) + (np.diff(at) > 0)
+    values = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw)) if len(filled) else pa.array([], pa.large_string())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), values)
 
 
 def byte_characters() -> list[str]:
@@ -67,30 +103,8 @@ class Codec:
         self.digits = list(map(str, range(len(self.token))))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has.
-
-        A single space or line feed between two characters that aren't white space always starts a piece, so such
-        texts are cut before each; the others go to the library whole.
-        """
-        column = pc.fill_null(column, "")
-        lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
-        whole = np.fromiter((RUN.search(x) is not None for x in column.to_pylist()), bool, len(column))
-        values, offsets = lists.flatten(), np.asarray(lists.offsets)
-        first = np.zeros(len(values), bool)
-        first[offsets[:-1] - offsets[0]] = True
-        first |= np.asarray(pc.starts_with(values, "\n"))
-        values = pc.if_else(pa.array(first), values, pc.binary_join_element_wise(pa.scalar(""), values, " "))
-        if whole.any():
-            kept = np.repeat(~whole, np.diff(offsets))
-            counts = np.where(whole, 1, np.diff(offsets))
-            at = np.zeros(int(counts.sum()), bool)
-            at[(np.cumsum(counts) - 1)[whole]] = True
-            mixed = pa.concat_arrays([values.filter(pa.array(kept)), column.filter(pa.array(whole))])
-            order = np.empty(len(at), np.int64)
-            order[~at] = np.arange((~at).sum())
-            order[at] = np.arange(at.sum()) + (~at).sum()
-            values, offsets = mixed.take(pa.array(order)), np.concatenate([[0], np.cumsum(counts)])
-        return self.coder(pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), values))
+        """All ids in a row, and how many each text has; texts are cut into chunks wherever a piece must start."""
+        return self.coder(chunks(column))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import GOLDEN, blocks, byte_codes, documents, hash_words, joined, mix, removed, shuffle_partitions, staged
+from .shared import GOLDEN, blocks, documents, hash_words, joined, mix, removed, shuffle_partitions, staged
 
-CODES = byte_codes(3)
+SEED = 3  # of its word hashes
 WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
 FLUSH = 1_000_000  # (tile, set) entries that a task holds before it sends them
@@ -56,7 +56,7 @@ Sets = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
 def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit n-gram hashes of all texts in a row, and each text's bounds."""
     buf, at = joined([(x or "").encode("utf-8", "surrogatepass").lower() for x in texts])  # bytes.lower: A-Z only
-    starts, _, words = hash_words(buf, WORD, CODES)
+    starts, _, words = hash_words(buf, WORD, SEED)
     first = np.append(np.searchsorted(starts, at), len(starts)) if len(texts) else np.zeros(1, np.int64)
     grams = words[: max(0, len(words) - n + 1)].copy()
     for k in range(1, n):

@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import GOLDEN, blocks, byte_codes, documents, hash_words, joined, mix, staged
+from .shared import GOLDEN, blocks, documents, hash_words, joined, mix, staged
 from .secret_scan import LETTERS
 from .spotsigs import ANCHORS
 
-CODES = byte_codes(8)
+SEED = 8  # of its word hashes
 WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
 LETTER_RUN = np.zeros(256, bool)
@@ -40,7 +40,7 @@ CLASSES = {
 MATRIX = np.zeros((256, len(CLASSES)))
 for _i, _v in enumerate(CLASSES.values()):
     MATRIX[list(_v), _i] = 1
-STOP_HASHES = np.unique(hash_words(joined([x.encode() for x in ANCHORS])[0], LETTER_RUN, CODES)[2])
+STOP_HASHES = np.unique(hash_words(joined([x.encode() for x in ANCHORS])[0], LETTER_RUN, SEED)[2])
 FEATURES = 16
 #: Usual characters and words that every text counts as having besides its own, so that rates of short texts are near
 #: the usual ones instead of far out.
@@ -68,13 +68,13 @@ def statistics(texts: list[str]) -> np.ndarray:
     share = (counts + CHARS * USUAL) / (size + CHARS)[:, None]
     entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
     buf, at = joined([x.lower() for x in data])
-    starts, ends, words = hash_words(buf, WORD, CODES)
+    starts, ends, words = hash_words(buf, WORD, SEED)
     word_at = _per_doc(at, starts, n)
-    letters_start, _, letters = hash_words(buf, LETTER_RUN, CODES)
+    letters_start, _, letters = hash_words(buf, LETTER_RUN, SEED)
     where = np.minimum(np.searchsorted(STOP_HASHES, letters), len(STOP_HASHES) - 1)
     common = np.concatenate([[0], np.cumsum(STOP_HASHES[where] == letters)])
     letter_at = _per_doc(at, letters_start, n)
-    line_start, _, lines = hash_words(buf, LINE, CODES)
+    line_start, _, lines = hash_words(buf, LINE, SEED)
     line_at = _per_doc(at, line_start, n)
     same = np.concatenate([[0, 0], np.cumsum(words[1:] == words[:-1])]) if len(words) else np.zeros(1, np.int64)
     triples = mix(words[:-2] + words[1:-1] * GOLDEN + words[2:] * np.uint64(0xD6E8FEB86659FD93)) if len(words) > 2 else words[:0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,12 +13,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker; a longer single text is handled alone.
 BLOCK_BYTES = 2 << 20
 #: Rows of an Arrow batch while a table is staged.
 BATCH_ROWS = 1000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,14 +30,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is the one in ``spark.checkpoint.dir``, or the context's; only a session without either gets a
-    local one, which serves tests and single-machine runs.
+    The folder is the one in ``spark.checkpoint.dir``, or the context's. Only a session without either whose master is
+    local, so that all tasks share this machine's disk, gets a local one; elsewhere that is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and jsc.getCheckpointDir().isDefined():
         base = jsc.getCheckpointDir().get()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -69,6 +74,24 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys at most that go by broadcast because many rows carry them, and rows that a key has at least for that.
+HOT_KEYS, HOT_ROWS = 10_000, 2000
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with ``one``, which has a row a key and in n how many of the rows, ``total`` in all, carry it.
+
+    A key that a share of over 1 / HOT_KEYS of the rows carries goes by broadcast, so its rows stay where they are;
+    there can't be more than HOT_KEYS of these. The others meet in a shuffle, where none of them is large.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= most:
+        return rows.join(one, key)
+    hot = one.where(F.col("n") > most)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col("n") <= most), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -100,11 +123,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_codes(seed: int) -> np.ndarray:
-    """A random 64-bit number for each byte."""
-    return mix((np.arange(256, dtype=np.uint64) + np.uint64(1 + 256 * seed)) * GOLDEN)
-
-
 def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All parts in one buffer, a line feed after each, and where each starts."""
     buf = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
@@ -112,27 +130,35 @@ def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.cumsum(lengths) - lengths
 
 
-def hash_words(buf: np.ndarray, word_byte: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the maximal runs of bytes that word_byte marks.
+def eights(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans' bytes as 64-bit numbers, eight bytes each and zeros after a span's end, in a row; each one's place in
+    its span; and the spans' bounds."""
+    count = (sizes + 7) >> 3
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], count)
+    long = np.concatenate([buf, np.zeros(8, np.uint8)])
+    windows = np.ndarray((len(buf) + 1,), np.uint64, long, 0, (1,))
+    out = windows[np.repeat(starts, count) + 8 * place]
+    last = bounds[1:][count > 0] - 1
+    out[last] &= MASKS[(sizes[count > 0] - 1 & 7) + 1]
+    return out, place, bounds
 
-    The hash is a polynomial in the bytes' codes, so it costs a few passes over the buffer and no Python object a
-    word.
-    """
+
+def hash_eights(words: np.ndarray, place: np.ndarray, bounds: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each span: every eight bytes are keyed by their place and mixed before they are summed, so no
+    pattern of differences cancels out."""
+    keys = mix((np.arange(int(place.max(initial=-1)) + 1, dtype=np.uint64) + np.uint64(1 + (seed << 40))) * GOLDEN)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words ^ keys[place]), out=total[1:])
+    return mix((total[bounds[1:]] - total[bounds[:-1]]) ^ (sizes.astype(np.uint64) * GOLDEN))
+
+
+def hash_words(buf: np.ndarray, word_byte: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the maximal runs of bytes that word_byte marks: no Python object a word."""
     inside = np.empty(len(buf) + 2, np.int8)
     inside[0] = inside[-1] = 0
     inside[1:-1] = word_byte[buf]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return starts, ends, np.empty(0, np.uint64)
-    lengths = ends - starts
-    before = np.cumsum(lengths) - lengths
-    at = np.arange(before[-1] + lengths[-1])
-    place = at - np.repeat(before, lengths)
-    powers = np.full(int(lengths.max()), 0xD6E8FEB86659FD93, np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    values = codes[buf[word_byte[buf]]]
-    values *= powers[place]
-    sums = np.add.reduceat(values, before)
-    return starts, ends, mix(sums ^ (lengths.astype(np.uint64) * GOLDEN))
+    sizes = ends - starts
+    return starts, ends, hash_eights(*eights(buf, starts, sizes), sizes, seed)

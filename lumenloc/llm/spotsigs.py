@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngram_join import set_components
-from .shared import GOLDEN, blocks, byte_codes, documents, hash_words, joined, mix, shuffle_partitions
+from .shared import GOLDEN, blocks, documents, hash_words, joined, mix, shuffle_partitions
 
 CHAIN = 2
 GAP = 8
@@ -42,12 +42,12 @@ ANCHORS = (
 ).split()
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-CODES = byte_codes(6)
+SEED = 6  # of its word hashes
 
 
 def _anchors() -> np.ndarray:
     buf, _ = joined([x.encode() for x in ANCHORS])
-    return np.unique(hash_words(buf, WORD, CODES)[2])
+    return np.unique(hash_words(buf, WORD, SEED)[2])
 
 
 ANCHOR_HASHES = _anchors()
@@ -56,7 +56,7 @@ ANCHOR_HASHES = _anchors()
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct 32-bit signatures of each text."""
     buf, at = joined([x.lower().encode("utf-8", "surrogatepass") for x in texts])
-    starts, _, words = hash_words(buf, WORD, CODES)
+    starts, _, words = hash_words(buf, WORD, SEED)
     doc = np.searchsorted(at, starts, "right") - 1
     where = np.searchsorted(ANCHOR_HASHES, words)
     is_anchor = ANCHOR_HASHES[np.minimum(where, len(ANCHOR_HASHES) - 1)] == words
