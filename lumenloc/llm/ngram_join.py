@@ -11,15 +11,19 @@ Two documents link when ``den * |intersection| >= num * |union|`` of their sets
 * Tiles of up to SMALL sets give candidate pairs, which must share as many tiles as a linked pair does at least: all its
   slots but k and those that are empty in both. (A pair with too few may share larger tiles too; it is met there.)
 * In larger tiles each set is first compared with the tile's hub, the set that most other tiles share too. Verified links
-  make components. Sets that larger tiles connect form a group; where a group still has several components, its sets
-  are compared in blocks, each two once: pairs across components pass if their sizes and bitmaps allow a link. Where
+  make components. Only tiles that still hold several components go on: what they connect is a group, whose sets are
+  compared in blocks, each two once: pairs across components pass if their sizes and bitmaps allow a link. Where
   more than MANY pass in a block, first only each component's likeliest does; once these are verified, a second round
   over the new components lets all pass that weren't verified.
 * Verification compares bitmaps first: set bits that the other lacks bound the intersection from above. Only the sets of
   pairs that pass meet, to intersect their sorted arrays of 64-bit n-gram hashes.
 
-Rows of (tile, set) travel packed as arrays: a row a task and partition. Large groups are split into pairs of blocks
-of BLOCK members, so no task holds a whole group's pairs. Documents' sets are rebuilt from their texts for suspects alone.
+Rows of (tile, set) travel packed as arrays: a row a task and partition. A tile that a task meets more than CROWD times
+sends the rest of its entries straight on as members, by their sets instead of the tile; joins with a tile's or a
+component's one row go by broadcast where many rows carry it. Large groups are split into pairs of blocks of BLOCK
+members, so no task holds a whole group's pairs. Documents' sets are rebuilt from their texts for suspects alone.
+
+N-grams are compared by 64-bit hashes of their words' 64-bit hashes, and equal sets are told by 128 bits over those.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Repeated rows and ids are kept:
 each row has its own result. A null id never is a component's id unless all its documents have none. Only the id and
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import GOLDEN, blocks, documents, hash_words, joined, mix, removed, shuffle_partitions, staged
+from .shared import GOLDEN, blocks, documents, hash_words, hot_join, joined, mix, removed, shuffle_partitions, staged
 
 SEED = 3  # of its word hashes
 WORD = np.ones(256, bool)
@@ -45,6 +49,7 @@ WORD[[32, 9, 10, 11, 12, 13]] = False
 FLUSH = 1_000_000  # (tile, set) entries that a task holds before it sends them
 SEEN = 300_000  # sets that a task remembers as sent
 SMALL = 16
+CROWD = 1024  # entries of a tile, among FLUSH, that go to the tile's part; with a task's sets sent again they hold more than SMALL sets
 PAIRS = 400_000  # that a task holds before it counts and sends them
 BLOCK = 4096
 MANY = 20_000
@@ -170,6 +175,20 @@ def tiles(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarra
     return np.concatenate(out), np.concatenate(own), np.concatenate(free)
 
 
+def beyond(tile: np.ndarray, crowd: int) -> np.ndarray:
+    """Which entries of a tile come after its first ``crowd`` ones."""
+    out = np.zeros(len(tile), bool)
+    bucket = (tile >> np.uint64(40)).astype(np.int64) & 0xFFFFF
+    many = np.bincount(bucket, minlength=1 << 20) > crowd
+    if many.any():
+        own = np.flatnonzero(many[bucket])
+        order = own[np.argsort(tile[own], kind="stable")]
+        new = np.concatenate([[True], tile[order][1:] != tile[order][:-1]])
+        place = np.arange(len(order))
+        out[order] = place - np.maximum.accumulate(np.where(new, place, 0)) >= crowd
+    return out
+
+
 def _banded(x: np.ndarray, level: np.ndarray | int) -> np.ndarray:
     return (x & ~np.uint64(63)) | np.asarray(level).astype(np.uint64)
 
@@ -214,23 +233,26 @@ def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataF
 
         def flush() -> Iterator[pa.RecordBatch]:
             tile, ids, size, free = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = ((tile >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
+            # entries by part; those of a crowded tile past its first CROWD ones stand after, by their sets' parts
+            over = beyond(tile, CROWD)
+            part = (np.where(over, ids, tile) >> np.uint64(20)) % np.uint64(parts) * np.uint64(2) + over.astype(np.uint64)
+            part = part.astype(np.uint16 if parts < 32768 else np.uint32)
             order = np.argsort(part, kind="stable")
             part, tile, ids, size, free = part[order], tile[order], ids[order], size[order], free[order]
             # rows of a set in a part, of at most 65535 tiles each
             run = np.concatenate([[True], (ids[1:] != ids[:-1]) | (part[1:] != part[:-1]) | (free[1:] != free[:-1])])
             place = np.arange(len(tile))
             run |= (place - np.maximum.accumulate(np.where(run, place, 0))) % 65535 == 0
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            columns: list[list] = [[], [], [], [], [], []]
-            for p in range(parts):
+            cuts = np.searchsorted(part, np.arange(2 * parts + 1))
+            columns: list[list] = [[], [], [], [], [], [], []]
+            for p in range(2 * parts):
                 a, b = cuts[p], cuts[p + 1]
                 if a < b:
                     starts = a + np.flatnonzero(run[a:b])
                     data = (ids[starts], np.diff(np.append(starts, b)).astype(np.uint16), size[starts], free[starts], tile[a:b])
-                    for c, v in zip(columns, (p, *(x.tobytes() for x in data)), strict=True):
+                    for c, v in zip(columns, (p // 2, p % 2 == 1, *(x.tobytes() for x in data)), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "ids", "counts", "sizes", "free", "tiles"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=["part", "crowded", "ids", "counts", "sizes", "free", "tiles"])
 
         for batch in blocks(batches, 0):
             flat, bounds = sets(batch.column(0).to_pylist())
@@ -255,9 +277,19 @@ def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataF
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.uint64, np.uint64, np.uint32, np.uint16)]
+        names = ["tile", "id", "other", "shared", "least"]
+
+        def as_members(tile: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(tile), 1 << 16):
+                part = tile[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([_signed(part), _signed(ids[a : a + (1 << 16)]), *[pa.nulls(len(part), pa.int64())] * 3], names=names)
+
         for batch in batches:
-            for ids, counts, sizes, free, own in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            for crowded, ids, counts, sizes, free, own in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
                 often = np.frombuffer(counts, np.uint16)
+                if crowded:  # the tile's own part has more than SMALL of its sets
+                    yield from as_members(np.frombuffer(own, np.uint64), np.repeat(np.frombuffer(ids, np.uint64), often))
+                    continue
                 columns[0].append(np.frombuffer(own, np.uint64))
                 for c, data, kind in zip(columns[1:], (ids, sizes, free), (np.uint64, np.uint32, np.uint16), strict=True):
                     c.append(np.repeat(np.frombuffer(data, kind), often))
@@ -279,7 +311,6 @@ def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataF
         tile, ids, size, free = tile[new], ids[new], size[new], free[new]
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(tile)), bool), tile[1:] != tile[:-1]]))
         counts = np.diff(np.append(starts, len(tile)))
-        names = ["tile", "id", "other", "shared", "least"]
         held: list[np.ndarray] = []
 
         def counted() -> Iterator[pa.RecordBatch]:
@@ -310,12 +341,9 @@ def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataF
         if held:
             yield from counted()
         more = np.repeat(counts > SMALL, counts)
-        tile, ids = tile[more], ids[more]
-        for a in range(0, len(tile), 1 << 16):
-            part = tile[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([_signed(part), _signed(ids[a : a + (1 << 16)]), *[pa.nulls(len(part), pa.int64())] * 3], names=names)
+        yield from as_members(tile[more], ids[more])
 
-    sent = rows.select("text").mapInArrow(send, "part int, ids binary, counts binary, sizes binary, free binary, tiles binary")
+    sent = rows.select("text").mapInArrow(send, "part int, crowded boolean, ids binary, counts binary, sizes binary, free binary, tiles binary")
     return sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "tile long, id long, other long, shared long, least long")
 
 
@@ -413,37 +441,46 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Calla
     return with_sets(rows, own, "two", "items").mapInArrow(linked, "a long, b long, two_a long, two_b long")
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
+def hub_pairs(members: DataFrame, total: int) -> DataFrame:
     """Each member of a tile with the tile's hub: the member with the most fellows over all tiles."""
     counts = members.groupBy("tile").agg(F.count("*").alias("n"))
-    fame = members.join(counts, "tile").groupBy("id").agg(F.sum("n").alias("fame"))
-    hubs = members.join(fame, "id").groupBy("tile").agg(F.max(F.struct("fame", "id"))["id"].alias("hub"))
-    return members.join(hubs, "tile").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    fame = hot_join(members, counts, "tile", total).groupBy("id").agg(F.sum("n").alias("fame"))
+    hubs = members.join(fame, "id").groupBy("tile").agg(F.max(F.struct("fame", "id"))["id"].alias("hub"), F.count("*").alias("n"))
+    return hot_join(members, hubs, "tile", total).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
 
+def crossed(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """id, component and hub (the tile's smallest member): members of tiles that hold several components."""
+    named = members.join(labels, F.col("id") == F.col("node"), "left").select("tile", "id", F.coalesce("root", "id").alias("component"))
+    mixed = named.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("hub"), F.count("*").alias("n")).where("lo < hi").select("tile", "hub", "n")
+    return hot_join(named, mixed, "tile", total).select("id", "component", "hub").distinct()
 
-def group_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, many: int | None) -> DataFrame:
+
+def group_pairs(crossing: DataFrame, sets: DataFrame, num: int, den: int, many: int | None) -> DataFrame:
     """Pairs (a, b) across components within a group that sizes and bitmaps let through, and whether others were left
     out (cut): where more than many pass in a pair of blocks, each component's likeliest stands for them.
 
-    groups: node and root.
+    crossing: of ``crossed``. A group is what tiles with several components connect.
     """
-    named = groups.select(F.col("node").alias("id"), F.col("root").alias("group")).join(labels, F.col("id") == F.col("node"), "left").select("group", "id", F.coalesce("root", "id").alias("component"))
-    mixed = named.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("group", ((F.col("n") + BLOCK - 1) / BLOCK).cast("int").alias("g"))
-    rows = named.join(mixed, "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    groups = components(crossing, "id", "hub").select(F.col("node").alias("id"), F.col("root").alias("group"))
+    named = crossing.select("id", "component").distinct().join(groups, "id")
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
+    rows = hot_join(named, sizes, "group", groups.count()).withColumn("g", ((F.col("n") + BLOCK - 1) / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     rows = rows.join(sets.select("id", "size", "bits").dropDuplicates(["id"]), "id")
     # a group of g blocks is worked through as pairs of blocks; a member goes to the g pairs of its block
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("group", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "component", "size", "bits")
     rows = rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
 
-    def compare(group: pa.Table) -> tuple[list[tuple[int, int]], bool]:
+    def compare(group: pa.Table) -> Iterator[tuple[np.ndarray, bool]]:
+        """Pairs that pass, in batches; what is held is one batch and, with many, a pair a component."""
         x, y = group["x"][0].as_py(), group["y"][0].as_py()
         group = group.take(pa.array(np.argsort(np.asarray(group["size"].combine_chunks()), kind="stable")))
         own, ids, component, size = (np.asarray(group[c].combine_chunks()) for c in ("own", "id", "component", "size"))
         data = group["bits"].to_pylist()
         widths = np.fromiter(map(len, data), np.int64, len(data))
-        every: list[tuple[int, int]] = []
+        held: list[np.ndarray] = []
+        count, cut = 0, False
         best: dict[int, tuple[float, int, int]] = {}
-        cut = False
         for width in np.unique(widths).tolist():
             # the smaller set of a pair has this width; larger sets' maps are folded to it, so no map is overfull
             most = den * int(size[widths == width].max()) // num
@@ -463,22 +500,31 @@ def group_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, num: int,
                 bound = np.minimum(size[i] - np.bitwise_count(bits[at] & ~there).sum(axis=1, dtype=np.int64), size[other] - np.bitwise_count(there & ~bits[at]).sum(axis=1, dtype=np.int64))
                 union = size[i] + size[other] - bound
                 may = den * bound >= num * union
-                for j, like in zip(other[may].tolist(), (bound[may] / union[may]).tolist(), strict=True):
-                    pair = (min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])))
-                    if not cut:
-                        every.append(pair)
-                        cut = many is not None and len(every) > many
-                    if many is not None:
-                        for c in (int(component[i]), int(component[j])):
-                            best[c] = max(best.get(c, (-1.0, 0, 0)), (like, *pair))
-        return (list(dict.fromkeys(v[1:] for v in best.values())), True) if cut else (every, False)
+                if not may.any():
+                    continue
+                pairs = np.sort(np.stack([np.full(int(may.sum()), ids[i]), ids[other[may]]], axis=1), axis=1)
+                if many is not None:
+                    for like, c, pair in zip((bound[may] / union[may]).tolist(), component[other[may]].tolist(), pairs.tolist(), strict=True):
+                        for k in (int(component[i]), c):
+                            best[k] = max(best.get(k, (-1.0, 0, 0)), (like, *pair))
+                if cut:
+                    continue
+                held.append(pairs)
+                count += len(pairs)
+                if many is not None and count > many:
+                    held, count, cut = [], 0, True
+                elif many is None and count > 1 << 16:
+                    yield np.concatenate(held), False
+                    held, count = [], 0
+        if cut:
+            yield np.array(list(dict.fromkeys(v[1:] for v in best.values())), np.int64), True
+        elif held:
+            yield np.concatenate(held), False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            found, cut = compare(group)
-            for k in range(0, len(found), 1 << 16):
-                part = np.array(found[k : k + (1 << 16)], np.int64)
-                yield pa.RecordBatch.from_arrays([_signed(part[:, 0]), _signed(part[:, 1]), pa.array(np.full(len(part), cut))], names=["a", "b", "cut"])
+            for found, cut in compare(group):
+                yield pa.RecordBatch.from_arrays([_signed(found[:, 0]), _signed(found[:, 1]), pa.array(np.full(len(found), cut))], names=["a", "b", "cut"])
 
         held: list[pa.RecordBatch] = []
         last = None
@@ -513,16 +559,19 @@ def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "
     table = staged(set_table(rows, cut), "sets")
     met = staged(shared_tiles(rows, cut, bands, parts), "tiles")
     members = met.where("tile is not null").select("tile", "id")
+    total = members.count()
     # ids ascend within a tile, so a pair is the same way round in each
     small = met.where("tile is null").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
-    hubs = staged(hub_pairs(members).distinct(), "hubs")
-    groups = components(hubs, "a", "b")
+    hubs = hub_pairs(members, total).distinct()
     tried = staged(small.unionAll(hubs).distinct(), "pairs")
     sets = suspects(rows, table, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(members.select("id")).distinct(), cut, bands)
     links = staged(verified(tried, sets, num, den, alike), "links")
     labels = components(links, "a", "b")
     for many in (MANY, None):
-        met_again = staged(group_pairs(groups, labels, sets, num, den, many), "pairs")
+        crossing = staged(crossed(members, labels, total), "crossing")
+        if crossing.isEmpty():
+            break
+        met_again = staged(group_pairs(crossing, sets, num, den, many), "pairs")
         again = not met_again.where("cut").isEmpty()
         more = staged(met_again.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():

@@ -17,9 +17,9 @@ from compare import duck_rows, rows_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenloc.llm import audio, byte_bpe, license_scan, line_dedup, ngram_join, packing, quality, registry, secret_scan, spotsigs, token_store
+from lumenloc.llm import audio, byte_bpe, license_scan, line_dedup, ngram_join, packing, quality, registry, secret_scan, shared, spotsigs, token_store
 from lumenloc.llm.components import components
-from lumenloc.llm.shared import scratch
+from lumenloc.llm.shared import hash_words, scratch
 
 P = pytest.importorskip("public_tokenizers")
 WORDS = [f"w{i}" for i in range(400)]
@@ -150,8 +150,68 @@ def test_chunks_are_whole_texts_ids(reference):
     assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes, strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def thue_morse(n):
+    """A word of 2 ** n signs and its complement: differences of these cancel out in polynomial hashes."""
+    text = "a"
+    for _ in range(n):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return [f"{'q' * 8}{x}{'z' * 8}" for x in (text, text.translate(str.maketrans("ab", "ba")))]
+
+
+@pytest.mark.parametrize("n", [10, 11, 12])
+@pytest.mark.parametrize("longest", [64, 1 << 20])
+def test_words_of_cancelling_differences(spark, monkeypatch, reference, n, longest):
+    monkeypatch.setattr("lumenloc.llm.word_cache.LONGEST", longest)
+    pair = thue_morse(n)
+    codec = byte_bpe.codec.__wrapped__(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    coder = token_store.encoder.__wrapped__(P.path("word_bpe_49k.json"))
+    for x in pair * 2:
+        ids, _ = codec.encode(pa.array([x]))
+        assert ids.tolist() == reference.encode_ordinary(x)
+        assert codec.decode(ids.tolist()) == x.encode()
+        assert coder(token_store.chunks(pa.array([x])))[0].tolist() == t.encode(x, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, pair[0]), (2, pair[1])], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, 4, 85, 100).collect()} == {1: 1, 2: 2}
+    assert (spotsigs.fingerprints(pair)[0] != spotsigs.fingerprints(pair)[1]).all()
+
+
+def test_word_hashes_are_those_of_the_bytes():
+    rnd = random.Random(13)
+    words = [rnd.randbytes(rnd.randint(1, 40)).hex().encode()[: rnd.randint(1, 70)] for _ in range(3000)] + [b"a", b"a\0", b"a\0\0", b"\0"]
+    mask = np.ones(256, bool)
+    mask[32] = False
+    _, _, found = hash_words(np.frombuffer(b" ".join(words), np.uint8), mask, 3)
+    _, _, again = hash_words(np.frombuffer(b"  ".join([b"shift", *words]), np.uint8), mask, 3)
+    assert found.tolist() == again[1:].tolist()
+    assert len(set(found.tolist())) == len(set(words))
+
+
+def test_a_hash_that_two_chunks_share(monkeypatch, reference):
+    monkeypatch.setattr("lumenloc.llm.word_cache.hash_eights", lambda words, place, bounds, sizes, seed: (sizes % 3).astype(np.uint64))
+    codec = byte_bpe.codec.__wrapped__(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = [" ".join(WORDS[k : k + 30]) + "." for k in range(0, 90, 7)] * 2
+    ids, sizes = codec.encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes, strict=True)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_cache_stays_under_its_bytes(monkeypatch, reference):
+    monkeypatch.setattr("lumenloc.llm.word_cache.KEPT_BYTES", 1 << 20)
+    codec = byte_bpe.codec.__wrapped__(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rnd = random.Random(14)
+    sizes = []
+    for _ in range(50):
+        texts = [f"{rnd.randbytes(12).hex()}\n\n{' '.join(rnd.choices(WORDS, k=8))}  {rnd.randbytes(40).hex()}" for _ in range(1000)]
+        codec.encode(pa.array(texts))
+        sizes.append(codec.coder.kept_bytes)
+        assert codec.coder.ids.nbytes + codec.coder.words.nbytes < 8 << 20
+    assert max(sizes) < 2 << 20  # the bound and one batch's new chunks
+    assert codec.encode(pa.array(texts[:50]))[0].tolist() == [i for t in texts[:50] for i in reference.encode_ordinary(t)]
+
+
 def test_cache_forgets(monkeypatch):
-    monkeypatch.setattr("lumenloc.llm.word_cache.KEPT", 50)
+    monkeypatch.setattr("lumenloc.llm.word_cache.KEPT_BYTES", 3000)
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     coder = token_store.encoder.__wrapped__(P.path("word_bpe_49k.json"))
     for k in range(6):
@@ -241,8 +301,11 @@ def brute_components(rows, n, num, den):
 @pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 80, 100), (2, 50, 100), (1, 100, 100)])
 def test_ngram_join(spark, monkeypatch, n, num, den):
     monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "CROWD", 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "MANY", 3)
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    monkeypatch.setattr(shared, "HOT_KEYS", 20)
     rows = list(enumerate(near_texts(140, n)))
     random.Random(n).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -275,9 +338,13 @@ def test_bands_serve_every_size(num, den):
                 assert bands.most[level] >= k[s - 1]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1_000_000, 40, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr("lumenloc.llm.components.LOCAL", local)
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    monkeypatch.setattr(shared, "HOT_KEYS", 20)
     rnd = random.Random(4)
-    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(500, 560)] + [(None, 1), (7, 7)]
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(500, 560)] + [(None, 1), (7, 7)] + [(900, 600 + i) for i in range(80)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     group = {}
     for a, b in edges:
