@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import blocks, documents
+from .shared import blocks, documents, fresh
 
 LINES = 3
 BLANK = " \t\r"
@@ -64,11 +64,13 @@ def spans(at: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the text's later repeats removed, n_lines and n_removed; columns of those names are replaced."""
-    df = df.drop("n_lines", "n_removed", "_id", "_at")
-    later = later_windows(df, id_col, text_col).select(F.struct("id", "text").alias("_id"), F.col("at").alias("_at"))
-    rows = df.join(later, df[id_col].eqNullSafe(F.col("_id.id")) & (text_hash(text_col) == F.col("_id.text")), "left").drop("_id")
+def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """df with the text's later repeats removed, n_lines and n_removed; columns of the names given for these are
+    replaced, all others stay as they are."""
+    df = df.drop(n_lines, n_removed)
+    own, places = fresh(df, "document", "places")
+    later = later_windows(df, id_col, text_col).select(F.struct("id", "text").alias(own), F.col("at").alias(places))
+    rows = df.join(later, df[id_col].eqNullSafe(F.col(f"{own}.id")) & (text_hash(text_col) == F.col(f"{own}.text")), "left").drop(own)
     at = df.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +89,9 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
                 lines.append(len(own))
                 removed.append(gone)
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], n_lines, n_removed])
 
-    return rows.mapInArrow(cut, T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return rows.mapInArrow(cut, T.StructType([*df.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_removed, T.LongType())]))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores after each as make it differ from all columns of df and from each other."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def released(spark: SparkSession) -> None:
     """Lets go of shuffle files of plans that nothing refers to any more: Spark's cleaner follows the driver's garbage."""
     gc.collect()
