@@ -142,11 +142,11 @@ def lists(column: pa.ListArray) -> list[list[int]]:
     return [flat[a : a + n] for a, n in zip(starts, sizes.tolist(), strict=True)]
 
 
-def decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+def decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, out: str = "data") -> Iterator[pa.RecordBatch]:
     c = codec(path, pattern)
     for batch in batches:
         data = list(map(c.decode, lists(batch.column("ids"))))
-        yield batch.append_column("data", pa.array(data, pa.binary()))
+        yield batch.append_column(out, pa.array(data, pa.binary()))
 
 
 def encode(df: DataFrame, path: str, pattern: str, offsets: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,10 +155,10 @@ def encode(df: DataFrame, path: str, pattern: str, offsets: bool = True, id_col:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda b: encoded(b, path, pattern, offsets), f"doc_id {kind}, ids array<int>" + ", starts array<int>" * offsets)
 
 
-def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """df with data: the bytes that column ids stands for. A null list has no bytes."""
-    df = df.drop("data")
-    return df.mapInArrow(lambda b: decoded(b, path, pattern), T.StructType([*df.schema.fields, T.StructField("data", T.BinaryType())]))
+def decode(df: DataFrame, path: str, pattern: str, out: str = "data") -> DataFrame:
+    """df with out: the bytes that column ids stands for. A null list has no bytes; a column of out's name is replaced."""
+    df = df.drop(out)
+    return df.mapInArrow(lambda b: decoded(b, path, pattern, out), T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
