@@ -4,16 +4,17 @@ Base spans come from three patterns. The method adds spans of kind "random": run
 [A-Za-z0-9+/_=-] that look drawn at random from the alphabet of their inferred encoding. "=" belongs to a run only as
 padding at its end; elsewhere it cuts, so in name=value the value is a candidate of its own. Each candidate gets
 
-* a chi-squared test of uniform use of that alphabet, a runs test about the alphabet's middle and a lag-one serial
-  correlation test; one that any of them rejects at ``level`` / 3 is no secret;
+* a chi-squared test of uniform use of that alphabet, a runs test about the alphabet's middle and a serial correlation
+  test at lags one and two; one that any of them rejects at ``level`` / 3 is no secret;
 * a p value for "this is ordinary text": the likelihood ratio of letter-frequency text against the uniform alphabet. By
   Markov's inequality it is a valid p value at every length, and short runs can't get a small one: the control is aware
   of length;
-* Benjamini-Hochberg over a document's candidates at false-discovery rate ``fdr``.
+* Benjamini-Hochberg over all candidates of all documents at false-discovery rate ``fdr``: a first pass counts p values
+  in bins of equal width in their logarithm, from which the largest p value that may pass follows; bins are rounded to
+  the safe side. Only these counts, BINS at most, reach the driver.
 
 A "random" span that overlaps a base span is not added. Null and empty texts have no spans; texts are scanned whole, in
-bounded batches; repeated rows give repeated rows; other columns pass through ``scan_secrets`` untouched unless their
-names clash with its own, which then win.
+bounded batches; repeated rows give repeated rows; other columns pass through ``scan_secrets`` untouched.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 
 from .shared import blocks, documents, texts
 
+LEVEL, FDR = 0.01, 0.001
+BINS, BIN_WIDTH = 4000, 20  # a bin is a factor of exp(1 / BIN_WIDTH)
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 KEYWORD = re.compile(r"pass|secret|token|api")
@@ -100,8 +103,8 @@ def tests(token: str, name: str) -> tuple[float, float, float]:
         p_runs = 2.0 ** (1 - n)
     d = x - x.mean()
     s = float((d * d).sum())
-    p_serial = normal_tail((float((d[1:] * d[:-1]).sum()) / s + 1 / n) * math.sqrt(n)) if s else 0.0
-    return p_chi, p_runs, p_serial
+    serial = [normal_tail((float((d[lag:] * d[:-lag]).sum()) / s + 1 / n) * math.sqrt(n)) for lag in (1, 2)] if s else [0.0]
+    return p_chi, p_runs, min(1.0, len(serial) * min(serial))
 
 
 def text_p(token: str, name: str) -> float:
@@ -112,18 +115,53 @@ def text_p(token: str, name: str) -> float:
     return min(1.0, math.exp(min(0.0, ratio)))
 
 
-def random_spans(text: str, level: float = 0.01, fdr: float = 0.001) -> list[tuple[int, int, str]]:
-    """Start, end and encoding of the runs that pass the battery and the false-discovery control."""
+def candidates(text: str, level: float = LEVEL) -> list[tuple[float, int, int, str]]:
+    """p value, start, end and encoding of the runs; p is 1 where the battery rejects randomness."""
     found = []
     for m in CANDIDATE.finditer(text):
         token = m.group()
         if len(token) < 20 or (name := encoding(token)) is None:
             continue
-        p = 1.0 if min(tests(token, name)) < level / 3 else text_p(token, name)
-        found.append((p, m.start(), m.end(), name))
-    found.sort()
-    keep = max((i + 1 for i, x in enumerate(found) if x[0] <= fdr * (i + 1) / len(found)), default=0)
-    return sorted(x[1:] for x in found[:keep])
+        found.append((1.0 if min(tests(token, name)) < level / 3 else text_p(token, name), m.start(), m.end(), name))
+    return found
+
+
+def random_spans(text: str, cutoff: float = FDR) -> list[tuple[int, int, str]]:
+    """Start, end and encoding of the candidates whose p value is at most cutoff; by default that of a lone candidate."""
+    return [x[1:] for x in candidates(text) if x[0] <= cutoff]
+
+
+def bin_of(p: float) -> int:
+    """The p value's bin; the last one holds all that are smaller still."""
+    return min(BINS - 1, int(-math.log(max(p, 1e-300)) * BIN_WIDTH))
+
+
+def cutoff_of(counts: dict[int, int], fdr: float = FDR) -> float:
+    """The largest p value that may pass, or 0: the upper end of the first bin whose p values all meet the condition."""
+    total, below = sum(counts.values()), 0
+    found = 0.0
+    for k in range(BINS - 1, 0, -1):
+        below += counts.get(k, 0)
+        upper = math.exp(-k / BIN_WIDTH)
+        if counts.get(k) and upper <= fdr * below / total:
+            found = upper
+    return found
+
+
+def fdr_cutoff(df: DataFrame, text_col: str = "text", fdr: float = FDR) -> float:
+    """The p value up to which candidates of all texts of df pass at this false-discovery rate: one pass, BINS rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [0] * BINS
+        for batch in blocks(batches, 0):
+            for text in batch.column(0).to_pylist():
+                for x in candidates(text or ""):
+                    found[bin_of(x[0])] += 1
+        used = [k for k in range(BINS) if found[k]]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([found[k] for k in used], pa.int64())], names=["bin", "n"])
+
+    rows = df.select(text_col).mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    return cutoff_of({r.bin: r.n for r in rows}, fdr)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -136,10 +174,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def all_spans(text: str, cutoff: float = FDR) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
-    more = [(a, b, "random") for a, b, _ in random_spans(text) if all(b <= x or y <= a for x, y, _ in base)]
+    more = [(a, b, "random") for a, b, _ in random_spans(text, cutoff) if all(b <= x or y <= a for x, y, _ in base)]
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -165,20 +203,23 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "<SECRET>
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def scan_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with base_spans and spans (array of kind, start, end) and redacted_text."""
+def scan_secrets(df: DataFrame, text_col: str = "text", cutoff: float | None = None, base_spans: str = "base_spans", spans: str = "spans", redacted_text: str = "redacted_text") -> DataFrame:
+    """df with base_spans and spans (array of kind, start, end) and redacted_text; columns of the names given for these
+    are replaced. Without a cutoff, that of all texts of df is found first."""
+    if cutoff is None:
+        cutoff = fdr_cutoff(df, text_col)
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    df = df.drop("base_spans", "spans", "redacted_text")
-    schema = T.StructType([*df.schema.fields, T.StructField("base_spans", span), T.StructField("spans", span), T.StructField("redacted_text", T.StringType())])
+    df = df.drop(base_spans, spans, redacted_text)
+    schema = T.StructType([*df.schema.fields, T.StructField(base_spans, span), T.StructField(spans, span), T.StructField(redacted_text, T.StringType())])
     at = df.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = lambda x: [{"kind": k, "start": a, "end": b} for a, b, k in x]
         for batch in blocks(batches, at):
             values = batch.column(at).to_pylist()
-            found = [all_spans(t or "") for t in values]
+            found = [all_spans(t or "", cutoff) for t in values]
             columns = [*batch.columns, pa.array([told(x) for x, _ in found], SPAN), pa.array([told(x) for _, x in found], SPAN), pa.array([t if not x else redacted(t, x) for t, (_, x) in zip(values, found, strict=True)], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "base_spans", "spans", "redacted_text"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, base_spans, spans, redacted_text])
 
     return df.mapInArrow(scan, schema)
 
