@@ -3,14 +3,15 @@
 ``store_media`` keeps each payload losslessly as a WAVE file (mono, 8 bits a sample) in a Parquet table;
 ``audio_features`` reads the stored bytes and computes
 
-* a polyphase resampling by ``UP`` / ``DOWN`` (windowed-sinc low-pass, one phase of the filter an output sample),
+* a polyphase resampling by ``UP`` / ``DOWN`` (windowed-sinc low-pass, one phase of the filter an output sample; BLOCK
+  samples at once are a product with the phases' matrix),
 * overlapped log-mel filterbanks (Hann frames of FRAME samples, HOP apart, MELS bands),
 * energy segments with hysteresis: one begins where the level rises to the ``high`` threshold and ends where it falls
   under the ``low`` one.
 
-Features are fixed-shape tensors: ``tensor`` is an Arrow IPC stream with a fixed_shape_tensor column of TILE x MELS and
-the time span of each tile in milliseconds; the last tile is padded with the floor value and ``n_frames`` says how many
-frames are real. Long payloads are worked through in blocks of SAMPLES, so memory doesn't grow with the payload beyond
+Features are fixed-shape tensors: ``tensor`` is an Arrow IPC stream with a fixed_shape_tensor column of TILE x MELS
+16-bit floats and the time span of each tile in milliseconds; the last tile is padded with the floor value and
+``n_frames`` says how many frames are real. ``store_features`` writes them to a second table; ``frames_of`` reads one. Long payloads are worked through in blocks of SAMPLES, so memory doesn't grow with the payload beyond
 the payload itself.
 
 A null or empty payload has one padded block of 192 bytes. Equal payloads have equal results. Row-local but for the
@@ -31,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import blocks, documents, staged
+from .shared import blocks, documents, removed, staged
 
 RATE = 16_000
 UNIT = 192
-UP, DOWN = 1, 2
+UP, DOWN = 2, 3
 TAPS = 32  # on each side of the centre, at the lower rate
 FRAME, HOP, MELS, TILE = 256, 128, 20, 16
 FLOOR = -10.0
+BLOCK = 64  # output samples of one product; a multiple of UP
 SAMPLES = 1 << 18
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
@@ -71,19 +73,31 @@ def phases() -> np.ndarray:
     return taps.reshape(-1, UP).T[:, ::-1].astype(np.float32).copy()
 
 
-def resampled(x: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Samples a to b of the signal at rate * UP / DOWN; outside the signal all is 0."""
+@functools.cache
+def block_matrix() -> tuple[np.ndarray, int]:
+    """From the input samples of a block to its BLOCK output samples, and the first input sample of block 0."""
     bank = phases()
     width = bank.shape[1]
-    at = np.arange(a, b) * DOWN + TAPS * UP
-    phase, last = at % UP, at // UP
-    lo, hi = int(last[0]) - width + 1, int(last[-1]) + 1
-    part = np.zeros(hi - lo, np.float32)
-    s, e = max(lo, 0), min(hi, len(x))
+    at = np.arange(BLOCK) * DOWN + TAPS * UP
+    first = at // UP - width + 1
+    out = np.zeros((int(first[-1] - first[0]) + width, BLOCK), np.float32)
+    for j in range(BLOCK):
+        out[first[j] - first[0] : first[j] - first[0] + width, j] = bank[at[j] % UP]
+    return out, int(first[0])
+
+
+def resampled(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Samples a to b of the signal at rate * UP / DOWN; outside the signal all is 0."""
+    matrix, first = block_matrix()
+    step, k = BLOCK * DOWN // UP, a // BLOCK
+    n = -(-b // BLOCK) - k
+    lo = k * step + first
+    part = np.zeros((n - 1) * step + len(matrix), np.float32)
+    s, e = max(lo, 0), min(lo + len(part), len(x))
     if e > s:
         part[s - lo : e - lo] = (x[s:e].astype(np.float32) - 128) / 128
-    rows = np.lib.stride_tricks.sliding_window_view(part, width)[last - width + 1 - lo]
-    return np.einsum("ij,ij->i", rows, bank[phase]) if UP > 1 else rows @ bank[0]
+    rows = np.lib.stride_tricks.sliding_window_view(part, len(matrix))[::step]
+    return (np.ascontiguousarray(rows) @ matrix).ravel()[a - k * BLOCK : b - k * BLOCK]
 
 
 @functools.cache
@@ -131,9 +145,9 @@ def segments(level: np.ndarray, low: float = 0.4, high: float = 0.6) -> list[tup
 def tensor(frames: np.ndarray) -> bytes:
     """An Arrow IPC stream: tiles of TILE x MELS with their spans in milliseconds."""
     n = -(-len(frames) // TILE)
-    full = np.full((n * TILE, MELS), FLOOR, np.float32)
+    full = np.full((n * TILE, MELS), FLOOR, np.float16)
     full[: len(frames)] = frames
-    kind = pa.fixed_shape_tensor(pa.float32(), (TILE, MELS))
+    kind = pa.fixed_shape_tensor(pa.float16(), (TILE, MELS))
     tiles = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), TILE * MELS))
     ms = 1000 * DOWN / (RATE * UP)
     start = np.arange(n) * TILE * HOP * ms
@@ -144,6 +158,15 @@ def tensor(frames: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def frames_of(stored: bytes, n_frames: int) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The frames of a stored tensor and its tiles' time spans."""
+    with pa.ipc.open_stream(stored) as s:
+        table = s.read_all()
+    tiles = table["log_mel"].combine_chunks()
+    frames = np.asarray(tiles.storage.flatten()).reshape(-1, MELS)[:n_frames]
+    return frames, list(zip(table["start_ms"].to_pylist(), table["end_ms"].to_pylist(), strict=True))
+
+
 def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media, written to the shared folder and read again."""
 
@@ -179,19 +202,38 @@ def audio_features(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(featured, f"doc_id {kind}, n_bytes long, media binary, payload_bytes long, n_frames long, tensor binary, mel_mean array<double>, segments array<struct<start_ms: double, end_ms: double>>")
 
 
+def store_features(features: DataFrame) -> DataFrame:
+    """The features written to the shared folder and read again."""
+    return staged(features, "features", compression="zstd")
+
+
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest is made in the pass that computes the features: as two steps they'd keep two Python workers a task."""
+    """The media's digest is made in the pass that reads it and computes the features, and is stored beside these; the
+    feature column comes from the stored tensors and spans."""
+    sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in featured(batches):
-            rows = batch.to_pylist()
-            data = [from_wave(x["media"])[0] for x in rows]
-            features = [f"{x['n_frames']}:{len(x['segments'])}:{','.join(f'{m:.3f}' for m in x['mel_mean'])}:{zlib.crc32(x['tensor']):08x}" for x in rows]
+            media = batch.column("media").to_pylist()
+            data = [from_wave(x)[0] for x in media]
             columns = {
-                "doc_id": batch.column(0), "n_bytes": batch.column(1), "payload_bytes": pa.array([len(x) for x in data], pa.int64()), "payload_sha256": pa.array([sha(x) for x in data]), "tail_crc32": pa.array([zlib.crc32(x[-16:]) for x in data], pa.int64()),
-                "media_bytes": pa.array([len(x["media"]) for x in rows], pa.int64()), "media_sha256": pa.array([sha(x["media"]) for x in rows]), "feature": pa.array(features),
+                "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "payload_bytes": batch.column("payload_bytes"), "payload_sha256": pa.array([sha(x) for x in data]),
+                "tail_crc32": pa.array([zlib.crc32(x[-16:]) for x in data], pa.int64()), "media_bytes": pa.array([len(x) for x in media], pa.int64()), "media_sha256": pa.array([sha(x) for x in media]),
+                "n_frames": batch.column("n_frames"), "tensor": batch.column("tensor"), "segments": batch.column("segments"),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return store_media(documents(spark, sf_dir)).mapInArrow(told, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, 8):
+            out = []
+            for n, stored, spans in zip(*(batch.column(c).to_pylist() for c in ("n_frames", "tensor", "segments")), strict=True):
+                frames, times = frames_of(stored, n)
+                means = ",".join(f"{m:.3f}" for m in frames.mean(axis=0, dtype=np.float64).tolist())
+                out.append(f"{n}:{times[-1][1]:g}:{','.join(f'{x["start_ms"]:g}-{x["end_ms"]:g}' for x in spans)}:{means}:{zlib.crc32(stored):08x}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(out, pa.string())], names=[*batch.schema.names[:7], "feature"])
+
+    digest = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    media = store_media(documents(spark, sf_dir))
+    stored = store_features(media.mapInArrow(told, f"{digest}, n_frames long, tensor binary, segments array<struct<start_ms: double, end_ms: double>>"))
+    removed(media)
+    return stored.mapInArrow(shown, f"{digest}, feature string")
