@@ -2,7 +2,7 @@
 
 A signature is a common word (the anchor) with the chain of the next CHAIN content words after it; a document's
 fingerprint is its set of distinct signatures. ``op6_spotsigs`` compares each text with its edited form and its
-neighbour. ``near_classes`` finds all pairs at the threshold and joins them to classes: sets are partitioned by length,
+neighbour: likenesses in full, and whether they're near copies by length partition and pruned Jaccard. ``near_classes`` finds all pairs at the threshold and joins them to classes: sets are partitioned by length,
 as only sets whose lengths are within the threshold's ratio can be alike, and compared by Jaccard with pruning: the
 lengths bound the likeness from above, and the intersection stops once the rest can't reach the threshold. Its
 partitions are the size bands of the n-gram join, whose tiles say which sets of neighbouring lengths meet, without loss,
@@ -21,12 +21,14 @@ ordered by their texts' hashes; other columns are not read.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ngram_join import set_components
 from .shared import GOLDEN, blocks, documents, hash_words, joined, mix, shuffle_partitions
@@ -113,6 +115,12 @@ def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
+def near(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> bool:
+    """Whether two fingerprints are near copies: only those of neighbouring length partitions are compared, pruned."""
+    (p, q), (s, t) = length_partition(len(a), threshold), length_partition(len(b), threshold)
+    return p <= t and s <= q and likeness(a, b, threshold) >= threshold
+
+
 def length_partition(size: int, threshold: float) -> tuple[int, int]:
     """The first and the last partition in which a set of this size may meet a partner; a set lives in its first one.
 
@@ -161,14 +169,20 @@ def with_next(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (doc_id, text) by descending doc_id with the next one's text; the last is followed by the first.
 
     Rows move once, to ranges of the order. Each range also gets a copy of the row that follows it, so a task needs no
-    other task's rows and keeps one row back. Bounds are approximate quantiles of the id: as many as there are parts.
+    other task's rows and keeps one row back. Bounds are approximate quantiles of the id, which must be a number: as
+    many as there are parts. Rows of an id, or of none, that are more than a part are split by the hash of their text;
+    only rows alike in both stay together.
     """
     spark = df.sparkSession
     n = parts or shuffle_partitions(spark)
     df = df.select("doc_id", "text")
+    if not isinstance(df.schema["doc_id"].dataType, T.NumericType):
+        raise TypeError("doc_id must be a number")
     # the order's key: ids descending, nulls last, ties by hash
     keyed = df.withColumn("tie", F.xxhash64("text"))
-    cuts = sorted(set(df.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)), reverse=True) if n > 1 else []
+    found = sorted(df.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n), reverse=True) if n > 1 else []
+    cuts = sorted(set(found), reverse=True)
+    rows, nulls = df.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
 
     def search(lo: int, hi: int) -> Column:
         """How many of cuts[lo:hi] aren't under the id, plus lo: by halves."""
@@ -177,14 +191,24 @@ def with_next(df: DataFrame, parts: int | None = None) -> DataFrame:
         mid = (lo + hi) // 2
         return F.when(F.col("doc_id") <= F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    # ids over cuts[0] are in part 0, those from cuts[0] down to above cuts[1] in part 1, ...; nulls come last
-    keyed = keyed.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(search(0, len(cuts))))
+    # ids over cuts[0] are in range 0, those from cuts[0] down to above cuts[1] in range 1, ...; nulls come last. An id
+    # that is several cuts, and nulls, are so many rows that they are split further, by their ties
+    split = [0, *[found.count(c) - 1 for c in cuts], max(0, math.ceil(n * nulls / max(1, rows)) - 1)]
+    base = [sum(split[:k]) + k for k in range(len(split))]
+    of = lambda values, at: F.get(F.array(*map(F.lit, values)), at)
+    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(search(0, len(cuts)))
+    keyed = keyed.withColumn("range", number)
+    own = F.col("doc_id").isNull() | (F.col("doc_id") == of([None, *cuts, None] if cuts else [None, None], F.col("range")).cast(df.schema["doc_id"].dataType))
+    step = F.floor((F.lit(float(2**63 - 1)) - F.col("tie")) / float(2**64) * (of(split, F.col("range")) + 1)).cast("int")
+    part = of(base, F.col("range")) + F.when(of(split, F.col("range")) == 0, 0).when(F.coalesce(own, F.lit(False)), F.least(F.greatest(step, F.lit(0)), of(split, F.col("range")))).otherwise(of(split, F.col("range")))
+    keyed = keyed.withColumn("part", part).drop("range")
+    parts_in_all = base[-1] + split[-1] + 1
     # each part's first row in the order: a row a part
     first = keyed.groupBy("part").agg(F.max_by(F.struct("doc_id", "tie"), F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")).alias("first")).orderBy("part").collect()
     if not first:
         return df.withColumn("next", F.col("text"))
     by_part = {r.part: (r.first.doc_id, r.first.tie, first[i - 1].part) for i, r in enumerate(first)}
-    listed = [by_part.get(p, (None, None, None)) for p in range(len(cuts) + 1)]
+    listed = [by_part.get(p, (None, None, None)) for p in range(parts_in_all)]
     told = lambda k, kind: F.get(F.array(*[F.lit(x[k]) for x in listed]).cast(f"array<{kind}>"), F.col("part"))
     # a part gets the next part's first row as its tail; repeats of that row are cut to one when they are read
     is_first = F.col("doc_id").eqNullSafe(told(0, df.schema["doc_id"].dataType.simpleString())) & (F.col("tie") == told(1, "bigint"))
@@ -192,7 +216,7 @@ def with_next(df: DataFrame, parts: int | None = None) -> DataFrame:
     slots = F.explode(F.when(is_first, F.array(slot(F.col("part"), 0), slot(told(2, "int"), 1))).otherwise(F.array(slot(F.col("part"), 0))))
     keyed = keyed.select("doc_id", "text", "tie", slots.alias("slot"))
     rows = keyed.select("doc_id", "text", "tie", F.col("slot.part").alias("part"), F.col("slot.tail").alias("tail"))
-    rows = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    rows = rows.repartitionById(parts_in_all, F.col("part")).sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, str | None] | None = None
@@ -232,10 +256,11 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "doc_id": batch.column(0), "n_chars": pa.array(list(map(len, texts)), pa.int64()), "edited_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]),
                 "fingerprint": pa.array(list(map(shown, own))), "edited_fingerprint": pa.array(list(map(shown, other))),
                 "near_edited": pa.array([likeness(a, b) for a, b in zip(own, other, strict=True)], pa.float64()), "near_next": pa.array([likeness(a, b) for a, b in zip(own, after, strict=True)], pa.float64()),
+                "length_partition": pa.array([length_partition(len(x), 0.8)[0] for x in own], pa.int32()), "copies_edited": pa.array([near(a, b) for a, b in zip(own, other, strict=True)]), "copies_next": pa.array([near(a, b) for a, b in zip(own, after, strict=True)]),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return with_next(documents(spark, sf_dir)).mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(documents(spark, sf_dir)).mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_partition int, copies_edited boolean, copies_next boolean")
 
 
 def op6_spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
