@@ -7,8 +7,10 @@ bin (the oldest of equals); without one a new bin opens. The order is a tree ove
 the intersection of the bitmaps below, so a range where every bin conflicts is passed at once.
 
 A document longer than a bin is cut into full bins and a rest. Packing is sequential by nature, so documents are dealt
-into shards of about ``shard_items`` by a hash of their id, which no source or cluster can skew; each shard is packed on
-its own, and their number grows with the input. Only ids, lengths, sources and cluster hashes move, never texts.
+into shards of about ``shard_items`` by a hash of their id and text, which no source, cluster or repeated id can skew;
+each shard is packed on its own, and their number grows with the input. Rows that are alike in all of this are counted
+first and dealt in lots, so a row that comes very often is no hot key either. Only ids, lengths, sources and hashes
+move, never texts.
 
 Lengths are words (maximal runs of characters other than white space) plus one for the end mark, so a null or empty
 text has length 1. A null source or cluster conflicts with nothing. Repeated rows are packed as often as they come; ties
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, shuffle_partitions
 
 CAPACITY = 2048
 SHARD_ITEMS = 20_000
@@ -132,10 +134,17 @@ def pack_documents(df: DataFrame, capacity: int = CAPACITY, shard_items: int = S
     shards = max(1, math.ceil(df.count() / shard_items))
     rows = df.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("cluster"),
-        (F.regexp_count(text, F.lit(r"\S+")) + 1).cast("long").alias("n"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).alias("shard"),
+        (F.regexp_count(text, F.lit(r"\S+")) + 1).cast("long").alias("n"), F.xxhash64(F.col(id_col), text).alias("own"),
     )
+    lot = max(1, shard_items // 4)
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("lot", F.explode(F.sequence(F.lit(0), F.ceil(F.col("copies") / lot) - 1)))
+    rows = rows.withColumn("copies", F.least(F.lit(lot), F.col("copies") - F.col("lot") * lot)).withColumn("shard", F.pmod(F.xxhash64("own", "lot"), F.lit(shards))).drop("lot", "own")
+    # shards are little data and much work: their tasks aren't merged by size
+    rows = rows.repartition(min(shards, 4 * shuffle_partitions(df.sparkSession)), "shard")
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table["copies"].to_numpy())))
         table = table.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("cluster", "ascending")])
         columns = {c: table[c].to_pylist() for c in ("n", "source", "cluster")}
         placed = np.array(pack(columns["n"], columns["source"], columns["cluster"], capacity), np.int64).reshape(-1, 6)
