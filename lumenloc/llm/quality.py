@@ -197,17 +197,28 @@ def score(features: DataFrame, fitted: Model) -> DataFrame:
     return features.select("doc_id", "features").mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def score_texts(df: DataFrame, fitted: Model, text_col: str = "text") -> DataFrame:
-    """df with quality_score."""
-    df = df.drop("quality_score")
+def add_statistics(df: DataFrame, out: str = "features", text_col: str = "text") -> DataFrame:
+    """df with the statistics of its texts (array of double); a column of that name is replaced."""
+    df = df.drop(out)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, at):
-            found = fitted.scores(statistics([x or "" for x in batch.column(at).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "quality_score"])
+            rows = statistics([x or "" for x in batch.column(at).to_pylist()])
+            offsets = np.arange(0, rows.size + 1, FEATURES, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
+def scored(features: Column, fitted: Model) -> Column:
+    """The score of a column of statistics: only that column goes to Python."""
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array(fitted.scores(np.asarray(x.flatten()).reshape(-1, FEATURES)))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return run(features)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
