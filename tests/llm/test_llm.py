@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -105,6 +106,42 @@ def test_token_store_prunes(spark, sf_dir):
     assert one.count() == 1
 
 
+def test_token_store_files(spark):
+    """Several stripes, row indexes and Bloom filters are in the file, and a point lookup reads a part of it."""
+    out = scratch(spark, "footers")
+    rows = spark.range(30_000).select((F.col("id") * 7).alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id") % 911, F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    stripe = token_store.STRIPE_BYTES
+    token_store.STRIPE_BYTES = 1 << 18
+    try:
+        token_store.write_token_store(rows, P.path("word_bpe_49k.json"), out, parts=1)
+    finally:
+        token_store.STRIPE_BYTES = stripe
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    (file,) = [f for f in spark.read.orc(out).inputFiles()]
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    stripes = reader.getStripes()
+    assert stripes.size() > 1
+    assert reader.getRowIndexStride() == token_store.ROW_STRIDE
+    footer = reader.rows().readStripeFooter(stripes.get(1))
+    kinds = [footer.getStreams(k).getKind().toString() for k in range(footer.getStreamsCount())]
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= set(kinds)
+    encodings = {footer.getColumns(k).getKind().toString() for k in range(footer.getColumnsCount())}
+    assert "DIRECT_V2" in encodings  # the second version of integer run-length encoding
+    one = spark.read.orc(out).where(f"doc_id = {7 * 17_000}")
+    assert one.count() == 1
+    one = one.select("doc_id", "n_tokens")
+    assert len(one.collect()) == 1
+    node = one._jdf.queryExecution().executedPlan()
+    read = []
+    while True:
+        metrics = node.metrics()
+        if node.children().isEmpty():
+            read.append(metrics.apply("numOutputRows").value())
+            break
+        node = node.children().apply(0)
+    assert read[0] < 30_000 // 5
+
+
 # ---- 5
 
 
@@ -255,6 +292,59 @@ def test_resampling_keeps_low_tones_and_drops_high_ones():
             assert np.abs(y - expected).max() < 0.03
 
 
+def brute_log_mel(payload):
+    """By zero stuffing, a full convolution, every DOWN-th sample, and a Fourier sum a bin."""
+    n = np.arange(-audio.TAPS * audio.UP, audio.TAPS * audio.UP + 1)
+    cut = 1 / max(audio.UP, audio.DOWN)
+    taps = np.sinc(n * cut) * cut * np.hanning(len(n) + 2)[1:-1]
+    taps *= audio.UP / taps.sum()
+    stuffed = np.zeros(len(payload) * audio.UP)
+    stuffed[:: audio.UP] = (payload.astype(float) - 128) / 128
+    signal = np.convolve(stuffed, taps)[audio.TAPS * audio.UP :][: len(stuffed) + audio.TAPS * audio.UP : audio.DOWN]
+    total = -(-len(payload) * audio.UP // audio.DOWN)
+    frames = max(1, 1 + -(-max(0, total - audio.FRAME) // audio.HOP))
+    signal = np.concatenate([signal, np.zeros(frames * audio.HOP + audio.FRAME)])
+    rate = audio.RATE * audio.UP / audio.DOWN
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** ((mel(60) + k * (mel(rate / 2) - mel(60)) / (audio.MELS + 1)) / 2595) - 1) for k in range(audio.MELS + 2)]
+    at = np.arange(audio.FRAME)
+    out = np.empty((frames, audio.MELS))
+    for f in range(frames):
+        part = signal[f * audio.HOP : f * audio.HOP + audio.FRAME] * (0.5 - 0.5 * np.cos(2 * np.pi * at / (audio.FRAME - 1)))
+        power = [abs((part * np.exp(-2j * np.pi * k * at / audio.FRAME)).sum()) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        for m in range(audio.MELS):
+            low, mid, high = edges[m : m + 3]
+            weights = [max(0.0, min((k * rate / audio.FRAME - low) / (mid - low), (high - k * rate / audio.FRAME) / (high - mid))) for k in range(len(power))]
+            out[f, m] = max(audio.FLOOR, np.log(max(1e-30, float(np.dot(weights, power)))))
+    return out
+
+
+def test_stored_features_are_those_of_the_definition(spark):
+    assert audio.UP > 1
+    rnd = random.Random(15)
+    texts = ["", "x" * 700, "quiet" + " " * 900 + "".join(rnd.choices("abcdefghijkl ~zZ", k=1500)) + " " * 800, "".join(map(chr, rnd.choices(range(32, 900), k=900)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in audio.store_features(audio.audio_features(audio.store_media(df))).collect():
+        payload = np.frombuffer(audio.from_wave(bytes(r.media))[0], np.uint8)
+        expected = brute_log_mel(payload)
+        frames, times = audio.frames_of(bytes(r.tensor), r.n_frames)
+        assert frames.shape == expected.shape
+        assert np.abs(frames - expected).max() < 0.02
+        ms = 1000 * audio.HOP * audio.DOWN / (audio.RATE * audio.UP)
+        assert [a for a, _ in times] == pytest.approx([k * audio.TILE * ms for k in range(-(-len(expected) // audio.TILE))])
+        level, on, spans = expected.mean(axis=1), False, []
+        low, high = (level.min() + q * (level.max() - level.min()) for q in (0.4, 0.6))
+        for k, v in enumerate(level):
+            if not on and v >= high:
+                spans.append([k * ms, None])
+            if on and v < low:
+                spans[-1][1] = k * ms
+            on = v >= high or on and v >= low
+        if on:
+            spans[-1][1] = len(level) * ms
+        assert [(x.start_ms, x.end_ms) for x in r.segments] == [tuple(map(pytest.approx, x)) for x in spans]
+
+
 def test_blocks_dont_show(monkeypatch):
     x = np.frombuffer(random.Random(2).randbytes(20_000), np.uint8)
     whole = audio.log_mel(x)
@@ -387,6 +477,66 @@ def test_base_spans_at_random():
         assert secret_scan.base_spans(text) == brute_base(text)
 
 
+def brute_battery(token, name):
+    """The three tests and the text's p value, sign by sign."""
+    signs = secret_scan.ALPHABETS[name]
+    x = [signs.index(c) for c in token.rstrip("=")]
+    n, size = len(x), len(signs)
+    chi = sum((x.count(k) - n / size) ** 2 / (n / size) for k in range(size))
+    var = 2 * (size - 1) * (n - 1) / n
+    df = 2 * (size - 1) ** 2 / var
+    scaled = chi * df / (size - 1)
+    z = ((scaled / df) ** (1 / 3) - 1 + 2 / (9 * df)) / (2 / (9 * df)) ** 0.5
+    above = [k >= size / 2 for k in x]
+    a, b = above.count(True), above.count(False)
+    if a and b:
+        runs = 1 + sum(p != q for p, q in itertools.pairwise(above))
+        mu = 1 + 2 * a * b / n
+        p_runs = math.erfc(abs(runs - mu) / ((mu - 1) * (mu - 2) / (n - 1)) ** 0.5 / 2**0.5)
+    else:
+        p_runs = 0.5 ** (n - 1)
+    mean = sum(x) / n
+    spread = sum((k - mean) ** 2 for k in x)
+    serial = [math.erfc(abs(sum((x[i] - mean) * (x[i + lag] - mean) for i in range(n - lag)) / spread + 1 / n) * n**0.5 / 2**0.5) for lag in (1, 2)] if spread else [0]
+    share = sum(secret_scan.LETTERS)
+    log = 0.0
+    for c in token.rstrip("=").lower() if name == "upper" else token.rstrip("="):
+        p = 0.86 * secret_scan.LETTERS[ord(c) - 97] / share if c.islower() else 0.07 * secret_scan.LETTERS[ord(c) - 65] / share if c.isupper() else 0.004 if c.isdigit() else 0.006
+        log += math.log(p * size)
+    return math.erfc(z / 2**0.5) / 2, p_runs, min(1, len(serial) * min(serial)), min(1, math.exp(min(0, log)))
+
+
+def test_battery():
+    rnd = random.Random(16)
+    for _ in range(300):
+        name = rnd.choice(list(secret_scan.ALPHABETS))
+        token = "".join(rnd.choices(secret_scan.ALPHABETS[name], k=rnd.randint(20, 90))) + rnd.choice(["", "=", "=="])
+        assert (*secret_scan.tests(token, name), secret_scan.text_p(token, name)) == pytest.approx(brute_battery(token, name))
+    assert secret_scan.random_spans("AbCdEfGhIjKlMnOpQrStUvWxYz0123") == []
+
+
+def test_false_discovery_is_controlled_over_all_documents(spark):
+    """The cutoff is Benjamini and Hochberg's over every candidate, up to a bin's width, and doesn't depend on how they
+    are dealt to documents."""
+    rnd = random.Random(17)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", secret_scan.LETTERS, k=rnd.randint(20, 50))) for _ in range(3000)]
+    secrets = [base64.b64encode(rnd.randbytes(18)).decode() for _ in range(60)]
+    found = [x[0] for t in words + secrets for x in secret_scan.candidates(t)]
+    ordered = sorted(found)
+    exact = max((p for k, p in enumerate(ordered) if p <= secret_scan.FDR * (k + 1) / len(ordered)), default=0.0)
+    one = spark.createDataFrame([(k, t) for k, t in enumerate(words + secrets)], "doc_id long, text string")
+    few = spark.createDataFrame([(0, " ".join(words + secrets)), (1, None)], "doc_id long, text string")
+    cutoff = secret_scan.fdr_cutoff(one)
+    assert cutoff == secret_scan.fdr_cutoff(few)
+    assert cutoff <= exact * math.exp(1 / secret_scan.BIN_WIDTH)
+    assert cutoff >= exact * math.exp(-2 / secret_scan.BIN_WIDTH)
+    assert sum(p <= cutoff for p in found) <= sum(p <= exact for p in found)
+    hits = {r.doc_id for r in secret_scan.scan_secrets(one).where("size(spans) > 0").collect()}
+    assert len([k for k in hits if k < 3000]) <= 1
+    assert len([k for k in hits if k >= 3000]) > 40
+    assert secret_scan.fdr_cutoff(one.where("false")) == 0.0
+
+
 def test_random_spans():
     rnd = random.Random(9)
     secrets = [base64.b64encode(rnd.randbytes(30)).decode() for _ in range(300)] + [rnd.randbytes(20).hex().upper() for _ in range(300)]
@@ -455,6 +605,56 @@ def test_spotsigs_query(spark, sf_dir, texts):
     assert (near[:, None] > far[None, :]).mean() > 0.95
 
 
+def brute_signatures(text):
+    anchors, words = set(spotsigs.ANCHORS), re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+    out, last = set(), 0
+    for i, w in enumerate(words):
+        common = w in anchors
+        if common or i == 0:
+            last = i
+        if common or i - last > spotsigs.GAP:
+            chain = list(itertools.islice((x for x in itertools.islice(words, i + 1, None) if x not in anchors), spotsigs.CHAIN))
+            if chain:
+                out.add((w, *chain))
+    return out or {tuple(words[i : i + spotsigs.CHAIN + 1]) for i in range(len(words))}
+
+
+def test_fingerprints_are_sets_of_signatures(texts):
+    rnd = random.Random(18)
+    made = ["".join(rnd.choices(["the ", "of ", "Cat ", "dog\n", "der ", "é, ", "x1 ", "run ", "blue. "], k=rnd.randint(0, 40))) for _ in range(400)]
+    every = [x for x in [*[x or "" for x in ODD], *made, *texts.values()] if len(x) < 20_000]
+    found, expected = spotsigs.fingerprints(every), list(map(brute_signatures, every))
+    assert [len(x) for x in found] == [len(x) for x in expected]
+    name = {}
+    for x, y in zip(found, expected, strict=True):
+        assert len(x) == len(set(x.tolist()))
+        for s in y:
+            name.setdefault(s, set(x.tolist())).intersection_update(x.tolist())
+    assert all(v for v in name.values())  # each signature has a number that all its fingerprints hold
+    for i, j in (rnd.sample(range(len(every)), 2) for _ in range(1500)):
+        a, b = expected[i], expected[j]
+        assert spotsigs.likeness(found[i], found[j]) == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        assert spotsigs.near(found[i], found[j], 0.3) == ((len(a & b) / len(a | b) if a | b else 1.0) >= 0.3)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_next_of_each_splits_hot_ids(spark, parts):
+    rows = [(i * i, f"t{i}") for i in range(23)] + [(16, f"another{k}") for k in range(40)] + [(None, f"n{k}") for k in range(40)] + [(16, "another0")]
+    out = spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), parts)
+    found = out.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in found) == sorted(map(str, rows))
+    assert sorted(r.next for r in found) == sorted(t for _, t in rows)
+    order = [*sorted({i for i, _ in rows if i is not None}, reverse=True), None]
+    for r in found:
+        after = order[(order.index(r.doc_id) + 1) % len(order)]
+        assert r.next in {t for i, t in rows if i in (after, r.doc_id)}
+    if parts == 7:
+        for i in (16, None):
+            assert len({r.part for r in found if r.doc_id == i}) > 1
+    with pytest.raises(TypeError):
+        spotsigs.with_next(out.select(F.lit("a").alias("doc_id"), "text"))
+
+
 @pytest.mark.parametrize("parts", [1, 3, 7])
 def test_next_of_each(spark, parts):
     rows = [(i * i, f"t{i}") for i in range(23)] + [(16, "another"), (16, "another")]
@@ -595,6 +795,21 @@ def test_packing_query(spark, sf_dir, texts):
         assert len({source[r.doc_id] for r in own}) == len(own)
 
 
+def test_packing_splits_repeated_ids(spark):
+    rows = [(None, f"text number {k}", "s") for k in range(300)] + [(7, f"other text {k}", "t") for k in range(300)] + [(8, "always the same", "u")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = packing.pack_documents(df, shard_items=100).withColumn("shard", F.shiftright("bin_id", 32)).collect()
+    assert len(out) == len(rows)
+    for i in (None, 7, 8):
+        own = [r.shard for r in out if r.doc_id == i]
+        assert len(own) == 300
+        assert max(own.count(x) for x in own) <= 150
+    bins = {}
+    for r in out:
+        bins.setdefault(r.bin_id, []).append(r.doc_id)
+    assert all(len(set(v)) == len(v) for v in bins.values())
+
+
 def test_packing_odd(odd, none):
     rows = packing.pack_documents(odd, capacity=100, shard_items=5).collect()
     assert sum(r.n_tokens for r in rows) == sum(len((r.text or "").split()) + 1 for r in odd.where("doc_id is null or doc_id <> 16").collect()) + 2 + 1
@@ -629,6 +844,41 @@ def test_quality_model_is_a_shrunk_qda():
     assert np.allclose(m.scores(both), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-6)
 
 
+def brute_statistics(text):
+    data = text.encode()
+    n = max(1, len(data))
+    count = lambda signs: sum(b in signs for b in data)
+    usual = {97 + i: 0.8 * x / sum(secret_scan.LETTERS) for i, x in enumerate(secret_scan.LETTERS)} | {32: 0.18, 46: 0.02}
+    shares = [(data.count(b) + 80 * usual.get(b, 0)) / (n + 80) for b in range(256)]
+    words = re.findall(rb"[^\x20\x09-\x0d]+", data.lower())
+    letters = re.findall(rb"[a-z\x80-\xff]+", data.lower())
+    lines = re.findall(rb"[^\n]+", data.lower())
+    often = max(map(words.count, set(words)), default=0)
+    twice = sum(a == b for a, b in itertools.pairwise(words))
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    again = 1 - len(set(triples)) / len(triples) if len(words) > 3 else 0.0
+    lengths = [len(w) for w in words]
+    tokens = len(words) + 16
+    mean = (sum(lengths) + 5.5 * 16) / tokens
+    spread = math.sqrt(max(0, (sum(k * k for k in lengths) + 37 * 16) / tokens - mean * mean))
+    rate = lambda k, usual, of=n + 80, more=80: math.log((k + usual * more) / of + 0.002)
+    own_lines = len(lines) if words else 0
+    return [
+        math.log(mean), math.log(spread), rate(count(range(65, 91)), 0.015), rate(count(range(128, 256)), 0.02), rate(count(range(48, 58)), 0.0), rate(count(b"#$%&*@^~+=<>\\|_`"), 0.0), rate(count(b"!?"), 0.0),
+        rate(count(b"()[]{}\"'/-"), 0.0), rate(count(b".,;:"), 0.015), rate(sum(x.decode("utf-8", "replace") in spotsigs.ANCHORS for x in letters), 0.3, len(letters) + 16, 16),
+        -sum(p * math.log2(p) for p in shares if p > 0), math.log(len(set(words)) + 16) / math.log(tokens), rate(often, 0.05, tokens, 16), rate(twice, 0.0, tokens, 16),
+        math.log(again * len(words) / tokens + 0.01), math.log((own_lines - len(set(lines)) if words else 0) / (own_lines + 4) + 0.02),
+    ]
+
+
+def test_statistics(texts):
+    rnd = random.Random(19)
+    made = ["".join(rnd.choices(["the ", "Cat ", "7", "é", "\n", " ", "a a a ", "!?", "(x)", "line\n", "."], k=rnd.randint(0, 60))) for _ in range(200)]
+    every = [*[x for x in ODD if x], *made, "", *list(texts.values())[:60]]
+    every = [x for x in every if len(x) < 20_000]
+    assert np.allclose(quality.statistics(every), np.array(list(map(brute_statistics, every))), atol=1e-9)
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (4, None), (99, 1)], "doc_id long, quality int")
     for df in (odd, none):
@@ -706,6 +956,12 @@ def test_licenses(spark):
     header = "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n */"
     rows = [(1, mit), (2, wrapped), (3, "Text.\nReleased under the MIT License.\nMore"), (4, header), (5, "licensed by nobody"), (6, "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0."), (7, None), (8, ""), (9, "// SPDX-License-Identifier: MIT"), (10, license_scan.SENTENCES["GPLfree"] + " " + license_scan.SENTENCES["GPLhope"]), (11, license_scan.SENTENCES["MPLform"])]
     found = {r.doc_id: list(r.licenses) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    far = "\n".join(f"{license_scan.SENTENCES[k]}\n" + "unrelated words here.\n" * 50 for k in ("MITgrant", "MITnotice", "MITwarranty", "MITliability"))
+    numbered = "\n".join(f"{n} {license_scan.SENTENCES[k]}" for n, k in (("", "BSDgrant"), ("1.", "BSDsource"), ("2.", "BSDbinary"), ("3.", "BSDendorseorg")))
+    more = [(1, far), (2, numbered), (3, "SPDX-License-Identifier: GPL-3.0-or-later"), (4, "Licensed under CC BY-NC-ND 4.0."), (5, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.")]
+    df = spark.createDataFrame(more, "doc_id long, text string")
+    assert {r.doc_id: list(r.licenses) for r in license_scan.scan_licenses(df).collect()} == {1: [], 2: ["BSD-3-Clause"], 3: ["GPL-3.0-or-later"], 4: ["CC-BY-NC-ND-4.0"], 5: ["CC-BY-SA-3.0"]}
+    assert {r.doc_id: list(r.licenses) for r in license_scan.scan_licenses(df, gap=50).where("doc_id = 1").collect()} == {1: ["MIT"]}
     assert found == {1: ["MIT"], 2: ["MIT"], 3: ["MIT"], 4: ["Apache-2.0"], 5: [], 6: ["Apache-2.0", "CC-BY-NC-4.0"], 7: [], 8: [], 9: ["MIT"], 10: ["GPL-3.0-or-later"], 11: ["MPL-2.0"]}
 
 
