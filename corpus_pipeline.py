@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from lumenloc.llm.line_dedup import drop_repeated_lines
 from lumenloc.llm.ngram_join import jaccard_components
 from lumenloc.llm.packing import pack_documents
-from lumenloc.llm.quality import THRESHOLD, fit, score_texts, with_statistics
+from lumenloc.llm.quality import THRESHOLD, add_statistics, fit, scored
 from lumenloc.llm.secret_scan import scan_secrets
-from lumenloc.llm.shared import documents, staged
+from lumenloc.llm.shared import documents, fresh, removed, staged
 
 
 def _texts(out: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -26,27 +26,39 @@ def _texts(out: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on their labels, rejects go."""
-    fitted = fit(with_statistics(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_texts(docs, fitted).where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    """Documents that the classifier, fitted on their labels, rejects go. Each text's statistics are made once."""
+    (features,) = fresh(docs, "features")
+    rows = staged(add_statistics(docs, features), "pipeline-statistics")
+    fitted = fit(rows.select("doc_id", F.col(features).alias("features")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rows.where(scored(F.col(features), fitted) >= THRESHOLD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of three lines go, and with them documents of which nothing is left."""
-    out = drop_repeated_lines(docs)
-    return _texts(out.where("n_removed < n_lines or n_lines = 0"), docs)
+    n_lines, n_removed = fresh(docs, "n_lines", "n_removed")
+    out = drop_repeated_lines(docs, n_lines=n_lines, n_removed=n_removed)
+    return _texts(out.where((F.col(n_removed) < F.col(n_lines)) | (F.col(n_lines) == 0)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group, at five words and 0.8, the document with the smallest id stays."""
-    found = jaccard_components(docs, n=5, num=80, den=100)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group, at five words and 0.8, one document stays: that with the smallest id, of those with one id that
+    whose text has the smallest hash, and one row of repeated ones. Null ids come last; documents without words stay."""
+    (key,) = fresh(docs, "document")
+    # ids may be null or repeated: a document is its id and its text
+    text = F.coalesce("text", F.lit(""))
+    docs_by = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two")))
+    found = staged(jaccard_components(docs_by.select(F.col(key).alias("doc_id"), "text"), n=5, num=80, den=100), "pipeline-components").where("n_shingles > 0")
+    kept = docs_by.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+    repeated = found.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in a text become a mark; every document stays."""
-    return _texts(scan_secrets(docs), docs, "redacted_text")
+    base, spans, redacted = fresh(docs, "base_spans", "spans", "redacted_text")
+    return _texts(scan_secrets(docs, base_spans=base, spans=spans, redacted_text=redacted), docs, redacted)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +79,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            removed(before)
     return docs
