@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +50,22 @@ def eta_text(seconds: Column) -> Column:
     return F.when(~good, "").when(seconds < 1, "<1s").when(seconds < 60, F.format_string("%ds", half_up(seconds).cast("long"))).otherwise(minutes)
 
 
+def to_fixed(x: Column, places: int) -> Column:
+    """The number with so many places, rounded by its exact binary value: built-in formats round its decimal form, so
+    that ties come out differently. Null stays null."""
+
+    @F.arrow_udf("string")
+    def shown(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{places}f}" for v in values.to_pylist()], pa.string())
+
+    return shown(x.cast("double"))
+
+
+def inlier_text(inliers: Column, total: Column) -> Column:
+    """'n/m', or '' for a match that wasn't verified."""
+    return F.when(inliers.isNotNull(), F.concat_ws("/", inliers.cast("string"), total.cast("string"))).otherwise("")
+
+
 def spread_text(km: Column) -> Column:
     return F.when(km < 1, F.format_string("± %d m", half_up(km * 1000).cast("long"))).when(km.isNotNull(), F.format_string("± %.1f km", km))
 

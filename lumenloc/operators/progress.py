@@ -21,11 +21,19 @@ def stage_states(events: DataFrame) -> DataFrame:
     return events.where("stage is not null").groupBy("run_id", "stage").agg(F.max_by(state, "seq").alias("state"))
 
 
-def overall(states: DataFrame) -> DataFrame:
-    """run_id, done, total, percent; stages of zoom runs don't count."""
-    main = states.where(~F.col("stage").startswith("zoom_"))
-    sums = main.groupBy("run_id").agg(F.count_if(F.col("state").isin(*FINAL)).alias("done"), F.count("*").alias("total"))
-    return sums.withColumn("percent", display.half_up(F.col("done") / F.greatest("total", F.lit(1)) * 100).cast("int"))
+def overall(events: DataFrame, top: int = 1) -> DataFrame:
+    """run_id, done, total, percent, text of events (run_id, event, stage).
+
+    The total counts the planned steps and every other stage that an event names; a stage that was once done, failed or
+    skipped stays counted as such, whatever follows. Stages of zoom runs don't count.
+    """
+    state = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])[F.col("event")]
+    plan = [*PLAN, *[f"c{i}_{s}" for i in range(top) for s in PLAN_EACH]]
+    counts = F.col("stage").isNotNull() & ~F.col("stage").startswith("zoom_") & state.isNotNull()
+    stages = events.select("run_id", F.when(counts, F.col("stage")).alias("stage"), state.isin(*FINAL).alias("final")).groupBy("run_id", "stage").agg(F.max("final").alias("final"))
+    sums = stages.groupBy("run_id").agg(F.count_if(F.col("stage").isNotNull() & F.col("final")).alias("done"), (F.count_if(F.col("stage").isNotNull() & ~F.col("stage").isin(*plan)) + len(plan)).alias("total"))
+    text = F.when(F.col("done") >= F.col("total"), "Complete").otherwise(F.format_string("Running · %d/%d", "done", "total"))
+    return sums.withColumn("percent", display.half_up(F.col("done") / F.greatest("total", F.lit(1)) * 100).cast("int")).withColumn("text", text)
 
 
 def seeded(states: DataFrame, candidates: DataFrame, top: int = 1) -> DataFrame:

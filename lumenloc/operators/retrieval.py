@@ -44,6 +44,14 @@ def best_of_each(df: DataFrame, by: str, top: int = TOP, verify_top: int = VERIF
     return two_tier(head, by, verify_top).where(F.col("rank") <= top)
 
 
+def picked_url(source: Column, mapillary: Column, street_view: Column, panoramax: Column) -> Column:
+    """The url under the source's own key, else the first of the others that is there; '' without any."""
+    given = [F.nullif(c, F.lit("")) for c in (mapillary, street_view, panoramax)]
+    own = F.when(source == "mapillary", given[0]).when(source == "google_sv", given[1]).when(source == "panoramax", given[2])
+    return F.coalesce(own, *given, F.lit(""))
+
+
+#: Where a match of each source is shown.
 def match_url(source: Column, image_id: Column, lat: Column, lon: Column) -> Column:
     return (
         F.when(source == "mapillary", F.concat(F.lit("https://www.mapillary.com/app/?pKey="), image_id, F.lit("&focus=photo")))
@@ -52,6 +60,17 @@ def match_url(source: Column, image_id: Column, lat: Column, lon: Column) -> Col
     )
 
 
+def source_counts(df: DataFrame) -> DataFrame:
+    """cluster, source and how many matches each has."""
+    return df.groupBy("cluster", "source").agg(F.count("*").alias("n"))
+
+
+def running_counts(df: DataFrame, position: str = "pos") -> DataFrame:
+    """df with n: how many matches its cluster and source have up to that row."""
+    w = Window.partitionBy("cluster", "source").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("n", F.count("*").over(w))
+
+
 def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
     """One table of matches; columns that a source lacks are null."""
     out = None

@@ -34,9 +34,9 @@ def road_points(vertices: DataFrame, spacing_m: float = geo.ROAD_SPACING_M) -> D
     return rows.select("way_id", "pos", "k", at("lat", "next_lat").alias("lat"), at("lon", "next_lon").alias("lon"))
 
 
-def sampled(df: DataFrame, n: int = 400, seed: int = 0) -> DataFrame:
-    """n rows in the order of a seeded hash of their place: the same rows each time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), "lat", "lon"), "lat", "lon").limit(n)
+def sampled(df: DataFrame, n: int = 400, seed: int = 0, key: tuple[str, ...] = ("way_id", "pos", "k")) -> DataFrame:
+    """n rows in the order of a seeded hash of their key: the same rows each time."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in key])), *key).limit(n)
 
 
 def _cells(lat: Column, lon: Column, reach_deg: float, spread: int) -> Column:
@@ -69,10 +69,10 @@ def near_pairs(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame:
     return a.join(b, "cell").withColumn("meters", geo.haversine_m("l_lat", "l_lon", "r_lat", "r_lon")).where(F.col("meters") <= reach_m).drop("cell")
 
 
-def bounds(df: DataFrame, pad: float = 0.35) -> DataFrame:
-    """The padded bounding box of all points."""
+def bounds(df: DataFrame, pad: float = 0.35, max_zoom: int = 13) -> DataFrame:
+    """The padded bounding box of all points, and the zoom that a map of it doesn't exceed."""
     box = df.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))
     return box.select(
         (F.col("a") - (F.col("b") - F.col("a")) * pad).alias("min_lat"), (F.col("b") + (F.col("b") - F.col("a")) * pad).alias("max_lat"),
-        (F.col("c") - (F.col("d") - F.col("c")) * pad).alias("min_lon"), (F.col("d") + (F.col("d") - F.col("c")) * pad).alias("max_lon"),
+        (F.col("c") - (F.col("d") - F.col("c")) * pad).alias("min_lon"), (F.col("d") + (F.col("d") - F.col("c")) * pad).alias("max_lon"), F.lit(max_zoom).alias("max_zoom"),
     )

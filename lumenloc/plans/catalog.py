@@ -12,6 +12,7 @@ from ..functions.similarity import cosine
 from ..functions.solar import steps, with_sun_events
 from ..operators import photo, progress, retrieval, spatial, sunfit
 from ..operators.dbscan import dbscan, noise_share, summarize
+from ..operators.verify import verify
 from ..sources import events, imagery
 from .fixtures import FIXTURES, fixture, table, with_fixtures
 
@@ -92,9 +93,30 @@ def semi_downloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(there, "image_id", "left_semi").select("vec_id", "image_id")
 
 
-@query("select source, count(*) as n from imagery group by source", "imagery")
+@query("select tile_no % 3 as cluster, source, count(*) as n from imagery group by tile_no % 3, source", "imagery")
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "imagery").groupBy("source").agg(F.count("*").alias("n"))
+    return retrieval.source_counts(fixture(spark, sf_dir, "imagery").withColumn("cluster", F.col("tile_no") % 3))
+
+
+@query("select vec_id, count(*) over (partition by tile_no % 3, source order by pos rows between unbounded preceding and current row) as n from imagery", "imagery")
+def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.running_counts(fixture(spark, sf_dir, "imagery").withColumn("cluster", F.col("tile_no") % 3)).select("vec_id", "n")
+
+
+URLS = "select vec_id, source, case when vec_id % 2 = 0 then concat('m/', cast(vec_id as varchar(20))) end as mapillary_url, case when vec_id % 3 = 0 then '' when vec_id % 3 = 1 then concat('s/', cast(vec_id as varchar(20))) end as street_view_url, case when vec_id % 5 = 0 then concat('p/', cast(vec_id as varchar(20))) end as panoramax_url from {}"
+
+
+@query(f", u as ({URLS.format('imagery')}) select vec_id, coalesce(nullif(case source when 'mapillary' then mapillary_url when 'google_sv' then street_view_url else panoramax_url end, ''), nullif(mapillary_url, ''), nullif(street_view_url, ''), nullif(panoramax_url, ''), '') as url from u", "imagery")
+def url_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(URLS.format("{imagery}"), imagery=fixture(spark, sf_dir, "imagery"))
+    return rows.select("vec_id", retrieval.picked_url(F.col("source"), F.col("mapillary_url"), F.col("street_view_url"), F.col("panoramax_url")).alias("url"))
+
+
+@query(f", {SIM} select vec_id, printf('%.3f', similarity) as similarity, case when vec_id % 4 = 0 then '' else inliers || '/' || total_matches end as inliers from imagery join sim using (vec_id)", "imagery")
+def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness at three places and inliers of matches as shown; every fourth wasn't verified."""
+    checked = F.when(F.col("vec_id") % 4 != 0, F.col("inliers"))
+    return matches(spark, sf_dir).select("vec_id", display.to_fixed(F.col("similarity"), 3).alias("similarity"), display.inlier_text(checked, F.col("total_matches")).alias("inliers"))
 
 
 @query(
@@ -132,9 +154,17 @@ def match_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select vec_id, case when total_matches < 8 then 0 else inliers end as inliers, total_matches, vec_id % 9 = 0 as failed from imagery".replace("case when", "case when vec_id % 9 = 0 or").replace("total_matches, vec", "case when vec_id % 9 = 0 then 0 else total_matches end as total_matches, vec"), "imagery")
 def verify_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What verification reports: fewer than 8 matches have no inliers; a failed image counts as 0 of 0."""
-    rows = fixture(spark, sf_dir, "imagery").withColumn("failed", F.col("vec_id") % 9 == 0)
-    checked = rows.select("vec_id", F.when(~F.col("failed"), F.when(F.col("total_matches") < 8, 0).otherwise(F.col("inliers"))).alias("inliers"), F.when(~F.col("failed"), F.col("total_matches")).alias("total_matches"), "failed")
-    return checked.fillna(0, ["inliers", "total_matches"])
+    rows = fixture(spark, sf_dir, "imagery").select("vec_id", F.struct("total_matches", "inliers").alias("image"), (F.col("vec_id") % 9 == 0).alias("failed"))
+
+    def match(_: object, image: dict) -> tuple[int, int, int]:
+        return 2048, image["total_matches"], image["inliers"]
+
+    def load(row: dict) -> dict:
+        if row["failed"]:
+            raise OSError
+        return row["image"]
+
+    return verify(rows, None, match, loader=load).select("vec_id", "inliers", "total_matches", "failed")
 
 
 @query(f", {SIM} select source, image_id, similarity from imagery join sim using (vec_id)", "imagery")
@@ -194,9 +224,11 @@ def road_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("way_id", "pos", F.col("k").cast("long").alias("k"), r("lat").alias("lat"), r("lon").alias("lon"))
 
 
-@query()
+@query(f""", {SEGMENTS}, n as (select *, greatest(1, cast(floor(6371000 * {_hav("lat", "lon", "nlat", "nlon")} / 60) as bigint)) as n from seg)
+ select way_id, pos, k, round_even(lat + (nlat - lat) * (k / n), 6) as lat, round_even(lon + (nlon - lon) * (k / n), 6) as lon from n, lateral (select unnest(range(n.n)) as k) q order by md5('0:' || way_id || ':' || pos || ':' || k), way_id, pos, k limit 400""", "road_vertices")
 def road_sample400(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.sampled(spatial.road_points(fixture(spark, sf_dir, "road_vertices")))
+    rows = spatial.sampled(spatial.road_points(fixture(spark, sf_dir, "road_vertices")))
+    return rows.select("way_id", "pos", F.col("k").cast("long").alias("k"), r("lat").alias("lat"), r("lon").alias("lon"))
 
 
 @query(
@@ -238,10 +270,10 @@ def map_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "probes").select("cluster", geo.map_zoom(F.col("radius_km") * 2).alias("zoom"))
 
 
-@query("select round_even(min(lat) - 0.35 * (max(lat) - min(lat)), 6) as min_lat, round_even(max(lat) + 0.35 * (max(lat) - min(lat)), 6) as max_lat, round_even(min(lon) - 0.35 * (max(lon) - min(lon)), 6) as min_lon, round_even(max(lon) + 0.35 * (max(lon) - min(lon)), 6) as max_lon from samples", "samples")
+@query("select round_even(min(lat) - 0.35 * (max(lat) - min(lat)), 6) as min_lat, round_even(max(lat) + 0.35 * (max(lat) - min(lat)), 6) as max_lat, round_even(min(lon) - 0.35 * (max(lon) - min(lon)), 6) as min_lon, round_even(max(lon) + 0.35 * (max(lon) - min(lon)), 6) as max_lon, 13 as max_zoom from samples", "samples")
 def fit_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = spatial.bounds(fixture(spark, sf_dir, "samples"))
-    return box.select(*[r(c).alias(c) for c in box.columns])
+    return box.select(*[r(c).alias(c) for c in box.columns if c != "max_zoom"], "max_zoom")
 
 
 @query("select 'imagery' as run, count(*) as n, round_even(avg(lat), 6) as lat from imagery union all select 'roads', count(*), round_even(avg(lat), 6) from road_vertices", "imagery road_vertices")
@@ -336,7 +368,7 @@ def golden_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SKY + " select image_id, round_even(p99, 6) as p99 from th", "pixels")
 def sky_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return photo.sky_threshold(photo.sky_scores(_pixels(spark, sf_dir))).select("image_id", r("p99").alias("p99"))
+    return photo.sky_threshold(photo.sky_histogram(photo.sky_scores(_pixels(spark, sf_dir)))).select("image_id", r("p99").alias("p99"))
 
 
 OFFSET = SKY + ", o as (select sc.image_id, avg(x) filter (where score >= p99) as cx, any_value(w) as w, avg(case when score >= p99 then 1.0 else 0.0 end) as share from sc join th on sc.image_id = th.image_id group by sc.image_id)"
@@ -464,9 +496,15 @@ def stage_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "run_events").select("seq", display.bare_stage(s).alias("bare"), display.stage_cluster(s).alias("cluster"), display.stage_label(s).alias("label"))
 
 
-@query(STATES + ", o as (select run_id, count(*) filter (where state in ('done', 'failed', 'skipped')) as done, count(*) as total from st where not starts_with(stage, 'zoom_') group by run_id) select run_id, done, total, cast(floor(done / greatest(total, 1) * 100 + 0.5) as int) as percent from o", "run_events")
+@query(
+    """, seen as (select run_id, stage, max(case when event in ('stage_done', 'stage_failed', 'error', 'stage_skipped') then 1 else 0 end) as completed from run_events where not starts_with(stage, 'zoom_') group by run_id, stage),
+ steps as (select run_id, stage, completed from seen union all select run_id, stage, 0 from (select distinct run_id from run_events) q, (select unnest(['model_load', 'plonk_sampling', 'sun_refine', 'c0_mapillary', 'c0_google_sv', 'c0_panoramax']) as stage) p),
+ o as (select run_id, count(distinct case when completed = 1 then stage end) as done, count(distinct stage) as total from steps group by run_id)
+ select run_id, done, total, cast(floor(done / greatest(total, 1) * 100 + 0.5) as int) as percent, case when done >= total then 'Complete' else printf('Running · %d/%d', done, total) end as text from o""",
+    "run_events",
+)
 def overall_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.overall(progress.stage_states(fixture(spark, sf_dir, "run_events")))
+    return progress.overall(fixture(spark, sf_dir, "run_events"))
 
 
 @query(

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.retrieval import usable_thumb
 
 FEATURES = "features array<struct<id: string, geometry: struct<coordinates: array<double>>, assets: struct<sd: struct<href: string>, thumb: struct<href: string>>>>"
 PAGE_LIMIT = 100
+#: Pixels of a batch; contents that a task holds at once.
+PIXELS, HELD = 1 << 18, 64
 
 
 def features(responses: DataFrame, body: str = "body", max_images: int = 150) -> DataFrame:
@@ -38,11 +45,27 @@ def panorama_ids(responses: DataFrame, body: str = "body") -> DataFrame:
 
 
 def pixels(images: DataFrame) -> DataFrame:
-    """image_id, y, x, r, g, b of rows of the image source, whose bytes are blue, green, red by row."""
-    rows = images.select("image_id", "image.width", "image.height", "image.nChannels", F.hex("image.data").alias("h"))
-    rows = rows.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") * F.col("height") - 1)))
-    channel = lambda k: F.conv(F.substring("h", (F.col("p") * F.col("nChannels") + F.least(F.lit(k), F.col("nChannels") - 1)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return rows.select("image_id", (F.col("p") / F.col("width")).cast("long").alias("y"), (F.col("p") % F.col("width")).alias("x"), channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
+    """image_id, y, x, r, g, b and the image's h, w, of rows of the image source, whose bytes are blue, green, red by
+    row; a grey image has equal channels. Slices of each image's bytes go out in batches of PIXELS, so an image costs
+    time in proportion to its size and no more memory than its bytes and a batch."""
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width, height, channels = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                data = batch.column(4)[i].as_buffer()
+                if not width or not height or not channels or data is None:
+                    continue
+                flat = np.frombuffer(data, np.uint8)[: width * height * channels].reshape(-1, channels)
+                for a in range(0, len(flat), PIXELS):
+                    part = flat[a : a + PIXELS]
+                    at, n = np.arange(a, a + len(part), dtype=np.int64), len(part)
+                    colours = [part[:, min(k, channels - 1)].astype(np.int32) for k in (2, 1, 0)]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, batch.schema.field(0).type), *map(pa.array, (at // width, at % width, *colours, np.full(n, height, np.int64), np.full(n, width, np.int64)))], names=["image_id", "y", "x", "r", "g", "b", "h", "w"])
+
+    rows = images.select("image_id", "image.width", "image.height", "image.nChannels", "image.data")
+    return rows.mapInArrow(run, f"image_id {kind}, y long, x long, r int, g int, b int, h long, w long")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -50,30 +73,69 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path).withColumn("image_id", F.col("image.origin"))
 
 
-def fetched(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "thumb_url", tries: int = 2) -> DataFrame:
-    """rows with content; rows whose fetch fails are left out. fetch runs in the workers, a batch at a time."""
+def fetched(rows: DataFrame, fetch: Callable[[str], bytes | None], url: str = "thumb_url", tries: int = 2, threads: int = 20, on_progress: Callable[[int], None] | None = None) -> DataFrame:
+    """rows with content; rows whose fetch fails, in whatever way, are left out.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            content = []
-            for u in frame[url]:
-                data = None
-                for _ in range(tries):
-                    try:
-                        data = fetch(u)
-                    except OSError:
-                        continue
-                    if data is not None:
-                        break
-                content.append(data)
-            yield frame.assign(content=content)[[x is not None for x in content]]
-
-    return rows.mapInPandas(run, f"{rows._jdf.schema().toDDL()}, content binary")
-
-
-def mosaics(tiles: DataFrame) -> DataFrame:
-    """panoid and its tiles (x, y, content) in order; missing tiles stay missing, a panorama without any has no row."""
-    return tiles.where("content is not null").groupBy("panoid").agg(F.array_sort(F.collect_list(F.struct("y", "x", "content"))).alias("tiles"), F.count("*").alias("n_tiles"))
+    fetch runs in the workers, ``threads`` at once, over HELD rows at a time, so few contents are held. on_progress is
+    called there with the number of rows of its task that are done; an accumulator's ``add`` of differences, say.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
+    at = rows.columns.index(url)
+
+    def one(u: str | None) -> bytes | None:
+        for _ in range(tries if u is not None else 0):
+            try:
+                data = fetch(u)
+            except Exception:  # noqa: BLE001  whatever a remote side does, the other rows go on
+                continue
+            if data is not None:
+                return data
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                for a in range(0, batch.num_rows, HELD):
+                    part = batch.slice(a, HELD)
+                    content = []
+                    for data in pool.map(one, part.column(at).to_pylist()):
+                        content.append(data)
+                        done += 1
+                        if on_progress:
+                            on_progress(done)
+                    column = pa.array(content, pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "content"]).filter(pc.is_valid(column))
+
+    return rows.mapInArrow(run, schema)
+
+
+def mosaics(tiles: DataFrame, decode: Callable[[bytes], np.ndarray] | None = None, columns: int = 4, rows: int = 2, size: int = 512) -> DataFrame:
+    """panoid, n_tiles and image (width, height, nChannels, data as the image source has it) of panoramas' tiles.
+
+    tiles: panoid, x, y, content. decode makes an array of height x width x 3 (red, green, blue) of a tile's bytes; by
+    default these are such raw bytes. Tiles are pasted at x * size, y * size; missing ones, and those that can't be
+    decoded, stay black. A panorama without any content has no row. A group is one panorama: columns * rows tiles.
+    """
+    read = decode or (lambda data: np.frombuffer(data, np.uint8).reshape(size, size, 3))
+    kind = tiles.schema["panoid"].dataType.simpleString()
+    there = tiles.where((F.col("content").isNotNull()) & F.col("x").between(0, columns - 1) & F.col("y").between(0, rows - 1))
+    # repeats of a tile: the smallest content, so the result doesn't depend on the order of rows
+    there = there.groupBy("panoid", "x", "y").agg(F.min("content").alias("content"))
+
+    def paste(table: pa.Table) -> pa.Table:
+        out = np.zeros((rows * size, columns * size, 3), np.uint8)
+        for x, y, content in zip(*(table[c].to_pylist() for c in ("x", "y", "content")), strict=True):
+            try:
+                part = np.asarray(read(content), np.uint8)[:size, :size, :3]
+                out[y * size : y * size + part.shape[0], x * size : x * size + part.shape[1]] = part
+            except Exception:  # noqa: BLE001  stays black
+                continue
+        data = np.ascontiguousarray(out[:, :, ::-1]).tobytes()
+        image = pa.StructArray.from_arrays([pa.array([columns * size], pa.int32()), pa.array([rows * size], pa.int32()), pa.array([3], pa.int32()), pa.array([data], pa.binary())], names=["width", "height", "nChannels", "data"])
+        return pa.Table.from_arrays([table["panoid"].slice(0, 1).combine_chunks(), pa.array([len(table)], pa.int64()), image], names=["panoid", "n_tiles", "image"])
+
+    return there.groupBy("panoid").applyInArrow(paste, f"panoid {kind}, n_tiles long, image struct<width: int, height: int, nChannels: int, data: binary>")
 
 
 def embedded(images: DataFrame, embed: Callable[[list[bytes]], list[list[float]]], column: str = "content") -> DataFrame:
@@ -81,7 +143,9 @@ def embedded(images: DataFrame, embed: Callable[[list[bytes]], list[list[float]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(embedding=embed(list(frame[column])))
+            for a in range(0, len(frame), HELD):
+                part = frame.iloc[a : a + HELD]
+                yield part.assign(embedding=embed(list(part[column])))
 
     return images.mapInPandas(run, f"{images._jdf.schema().toDDL()}, embedding array<float>")
 
@@ -126,7 +190,7 @@ class TileReader(DataSourceReader):
         number, *tile = partition.tile
         try:
             rows = list(search(tuple(tile), self.limit))[: self.limit]
-        except OSError:
+        except Exception:  # noqa: BLE001  a tile that can't be searched is empty
             rows = []
         for pos, (key, lat, lon, thumb) in enumerate(rows):
             yield (key, lat, lon, thumb, number, pos)

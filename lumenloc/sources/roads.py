@@ -14,19 +14,16 @@ from ..operators.spatial import near_pairs
 def with_retries(ask: Callable[[str], tuple[int, object]], mirrors: list[str], max_retries: int = 3, wait: Callable[[float], None] = time.sleep) -> object | None:
     """The body of the first answer with status 200, from mirrors in turn; None after max_retries + 1 attempts.
 
-    Status 429 and 5xx and connection errors are tried again after 2 * (attempt + 1) seconds; other answers end it.
+    Every other status, and whatever ask raises, is tried again after 2 * (attempt + 1) seconds, after the last too.
     """
     for attempt in range(max_retries + 1):
         try:
             status, body = ask(mirrors[attempt % len(mirrors)])
             if status == 200:
                 return body
-            if status != 429 and status < 500:
-                return None
-        except OSError:
+        except Exception:  # noqa: BLE001  the next mirror may answer
             pass
-        if attempt < max_retries:
-            wait(2 * (attempt + 1))
+        wait(2 * (attempt + 1))
     return None
 
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenloc.functions import geo
+from lumenloc.functions import display, geo
 from lumenloc.operators import photo, progress, retrieval, spatial, sunfit
 from lumenloc.operators.dbscan import dbscan, noise_share, summarize
+from lumenloc.operators.verify import gated, verify
 from lumenloc.plans import catalog, locate
 from lumenloc.plans.fixtures import fixture
 from lumenloc.sources import events, imagery
-from lumenloc.sources.roads import addresses, vertices
+from lumenloc.sources.roads import addresses, vertices, with_retries
 from lumenloc.streaming import progress as streams
 
 
@@ -177,14 +179,92 @@ def test_fetch_embed_mosaic(spark):
 
     def fetch(url):
         if url == "bad":
-            raise OSError
+            raise ValueError("not an image")
         return url.encode()
 
-    got = imagery.fetched(rows, fetch)
+    done = spark.sparkContext.accumulator(0)
+    got = imagery.fetched(rows.repartition(1), fetch, on_progress=lambda n: done.add(1))
     assert [r.content for r in got.collect()] == [bytearray(b"a")]
+    assert done.value == 2
     assert [r.embedding for r in imagery.embedded(got, lambda c: [[float(len(x))] for x in c]).collect()] == [[1.0]]
-    tiles = spark.createDataFrame([("p", 1, 0, b"x"), ("p", 0, 0, b"y"), ("q", 0, 0, None)], "panoid string, x int, y int, content binary")
-    assert [(r.panoid, r.n_tiles, r.tiles[0].x) for r in imagery.mosaics(tiles).collect()] == [("p", 2, 0)]
+    reds, blues = (np.tile(np.array(c, np.uint8), (512, 512, 1)).tobytes() for c in ([255, 0, 0], [0, 0, 255]))
+    tiles = spark.createDataFrame([("p", 1, 0, reds), ("p", 3, 1, blues), ("p", 3, 1, blues), ("p", 2, 1, b"broken"), ("q", 0, 0, None)], "panoid string, x int, y int, content binary")
+    (r,) = imagery.mosaics(tiles).collect()
+    assert (r.panoid, r.n_tiles, r.image.width, r.image.height, r.image.nChannels) == ("p", 3, 2048, 1024, 3)
+    expected = np.zeros((1024, 2048, 3), np.uint8)
+    expected[:512, 512:1024, 0] = 255
+    expected[512:, 1536:, 2] = 255
+    assert (np.frombuffer(r.image.data, np.uint8).reshape(1024, 2048, 3)[:, :, ::-1] == expected).all()
+
+
+def test_large_images_take_time_in_proportion(spark):
+    """Twelve million pixels, all of which come out as they are."""
+    rnd = np.random.default_rng(0)
+    data = rnd.integers(0, 256, (3000, 4000, 3), dtype=np.uint8)
+    image = spark.createDataFrame([(1, (4000, 3000, 3, bytearray(data.tobytes())))], "image_id int, image struct<width: int, height: int, nChannels: int, data: binary>")
+    sums = imagery.pixels(image).agg(F.count("*"), F.sum("r"), F.sum(F.col("g") * F.col("x")), F.sum(F.col("b") * F.col("y")), F.max("h"), F.max("w")).first()
+    wide = data.astype(np.int64)
+    assert tuple(sums) == (12_000_000, wide[:, :, 2].sum(), (wide[:, :, 1] * np.arange(4000)).sum(), (wide[:, :, 0] * np.arange(3000)[:, None]).sum(), 3000, 4000)
+    grey = spark.createDataFrame([(2, (2, 1, 1, bytearray([7, 9]))), (3, (0, 0, 3, bytearray()))], "image_id int, image struct<width: int, height: int, nChannels: int, data: binary>")
+    assert [(r.x, r.r, r.g, r.b) for r in imagery.pixels(grey).collect()] == [(0, 7, 7, 7), (1, 9, 9, 9)]
+
+
+def test_verify(spark):
+    rows = [(1, 1, b"8 9 8"), (2, 2, b"7 9 9"), (3, 3, b"9 7 7"), (4, 4, None), (5, 5, b"bad"), (6, 6, b"9 9 9")]
+    df = spark.createDataFrame(rows, "id int, rank int, image binary").withColumn("inliers", F.lit("kept by nobody"))
+    match = lambda target, image: tuple(int(x) + target for x in image.split())
+
+    def load(row):
+        if row["id"] == 4:
+            return b"8 8 8"
+        raise ValueError
+
+    found = {r.id: (r.inliers, r.total_matches) for r in verify(df, 0, match, "image", load, "rank", 5).collect()}
+    assert found == {1: (8, 9), 2: (0, 0), 3: (0, 7), 4: (8, 8), 5: (0, 0), 6: (None, None)}
+    assert {r.id: r.inliers for r in verify(df, 0, match, "image").collect()}[4] == 0
+    i, t = gated(F.col("k"), F.col("t"), F.col("i"))
+    gates = spark.createDataFrame([(8, 9, 8), (7, 9, 9), (9, 7, 7), (None, None, None)], "k int, t int, i int").select(i.alias("i"), t.alias("t"))
+    assert sorted(map(tuple, gates.collect())) == [(0, 0), (0, 0), (0, 7), (8, 9)]
+
+
+def test_overall_progress_is_sticky(spark):
+    rows = [(1, 1, "stage_done", "sun_refine"), (1, 2, "progress", "sun_refine"), (1, 3, "stage_start", "c4_mapillary"), (1, 4, "stage_done", "zoom_mapillary"), (1, 5, "log", None)]
+    rows += [(2, 6 + k, "stage_skipped", s) for k, s in enumerate(["model_load", "plonk_sampling", "sun_refine", "c0_mapillary", "c0_google_sv", "c0_panoramax"])] + [(3, 20, "log", None)]
+    df = spark.createDataFrame(rows, "run_id int, seq int, event string, stage string")
+    found = {r.run_id: (r.done, r.total, r.percent, r.text) for r in progress.overall(df).collect()}
+    assert found == {1: (1, 7, 14, "Running · 1/7"), 2: (6, 6, 100, "Complete"), 3: (0, 6, 0, "Running · 0/6")}
+
+
+def test_retries_whatever_goes_wrong():
+    answers, waits, asked = [(404, "a"), ValueError(), (500, "b"), (200, "c")], [], []
+
+    def ask(mirror):
+        asked.append(mirror)
+        a = answers[len(asked) - 1]
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    assert with_retries(ask, ["x", "y"], wait=waits.append) == "c"
+    assert (asked, waits) == (["x", "y", "x", "y"], [2, 4, 6])
+    asked.clear()
+    answers[3] = (302, "d")
+    waits.clear()
+    assert with_retries(ask, ["x", "y"], wait=waits.append) is None
+    assert waits == [2, 4, 6, 8]
+
+
+def test_exact_rounding(spark):
+    values = [0.1235, 0.0005, 0.99951, 0.5, -0.1235, None, 0.9995]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.t for r in df.select(display.to_fixed(F.col("v"), 3).alias("t")).collect()] == [None if v is None else f"{v:.3f}" for v in values]
+
+
+def test_dbscan_of_a_hot_spot(spark):
+    """Twenty thousand different points around one place: no pairs of them are made."""
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("sample_id"), (F.lit(10.0) + F.pmod(F.xxhash64("id"), F.lit(10_007)) / 30_000).alias("lat"), (F.lit(20.0) + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10_009)) / 30_000).alias("lon"))
+    out = dbscan(df)
+    assert {(r.label, r["count"]) for r in out.groupBy("label").count().collect()} == {(0, 20_000)}
 
 
 def test_addresses_and_vertices(spark):
