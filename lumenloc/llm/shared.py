@@ -98,6 +98,7 @@ def hot_join(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame
     most = max(HOT_ROWS, total // HOT_KEYS)
     if total <= most:
         return rows.join(one, key)
+    one = staged(one, "keys")  # it is read three times, and would be made as often
     hot = one.where(F.col("n") > most)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col("n") <= most), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
