@@ -10,7 +10,7 @@ Two documents link when ``den * |intersection| >= num * |union|`` of their sets
 * Equal sets are one set from the start: classes by a 128-bit hash, and a task sends each class once.
 * Tiles of up to SMALL sets give candidate pairs, which must share as many tiles as a linked pair does at least: all its
   slots but k and those that are empty in both. (A pair with too few may share larger tiles too; it is met there.)
-* In larger tiles each set is first compared with the tile's hub, the set that most other tiles share too. Verified links
+* In larger tiles each set is first compared with the tile's hub, the member of the most larger tiles. Verified links
   make components. Only tiles that still hold several components go on: what they connect is a group, whose sets are
   compared in blocks, each two once: pairs across components pass if their sizes and bitmaps allow a link. Where
   more than MANY pass in a block, first only each component's likeliest does; once these are verified, a second round
@@ -442,9 +442,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Calla
 
 
 def hub_pairs(members: DataFrame, total: int) -> DataFrame:
-    """Each member of a tile with the tile's hub: the member with the most fellows over all tiles."""
-    counts = members.groupBy("tile").agg(F.count("*").alias("n"))
-    fame = hot_join(members, counts, "tile", total).groupBy("id").agg(F.sum("n").alias("fame"))
+    """Each member of a tile with the tile's hub: the member of the most large tiles."""
+    fame = members.groupBy("id").agg(F.count("*").alias("fame"))
     hubs = members.join(fame, "id").groupBy("tile").agg(F.max(F.struct("fame", "id"))["id"].alias("hub"), F.count("*").alias("n"))
     return hot_join(members, hubs, "tile", total).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
