@@ -441,16 +441,22 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Calla
     return with_sets(rows, own, "two", "items").mapInArrow(linked, "a long, b long, two_a long, two_b long")
 
 
-def hub_pairs(members: DataFrame, total: int) -> DataFrame:
+def by_set(members: DataFrame) -> DataFrame:
+    """id and all its large tiles: what is joined by id is a row a set instead of a row an entry."""
+    return members.repartition("id").groupBy("id").agg(F.collect_set("tile").alias("tiles"))
+
+
+def hub_pairs(packed: DataFrame, total: int) -> DataFrame:
     """Each member of a tile with the tile's hub: the member of the most large tiles."""
-    fame = members.groupBy("id").agg(F.count("*").alias("fame"))
-    hubs = members.join(fame, "id").groupBy("tile").agg(F.max(F.struct("fame", "id"))["id"].alias("hub"), F.count("*").alias("n"))
-    return hot_join(members, hubs, "tile", total).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    famed = packed.select("id", F.size("tiles").alias("fame"), F.explode("tiles").alias("tile"))
+    hubs = famed.groupBy("tile").agg(F.max(F.struct("fame", "id"))["id"].alias("hub"), F.count("*").alias("n"))
+    return hot_join(famed.select("id", "tile"), hubs, "tile", total).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
 
 
-def crossed(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+def crossed(packed: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     """id, component and hub (the tile's smallest member): members of tiles that hold several components."""
-    named = members.join(labels, F.col("id") == F.col("node"), "left").select("tile", "id", F.coalesce("root", "id").alias("component"))
+    known = packed.join(labels, F.col("id") == F.col("node"), "left")
+    named = known.select("id", F.coalesce("root", "id").alias("component"), F.explode("tiles").alias("tile"))
     mixed = named.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("hub"), F.count("*").alias("n")).where("lo < hi").select("tile", "hub", "n")
     return hot_join(named, mixed, "tile", total).select("id", "component", "hub").distinct()
 
@@ -557,19 +563,21 @@ def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = staged(set_table(rows, cut), "sets")
     met = staged(shared_tiles(rows, cut, bands, parts), "tiles")
-    members = met.where("tile is not null").select("tile", "id")
-    total = members.count()
+    large = packed = staged(by_set(met.where("tile is not null").select("tile", "id")), "members")
+    total = packed.agg(F.sum(F.size("tiles"))).first()[0] or 0
     # ids ascend within a tile, so a pair is the same way round in each
     small = met.where("tile is null").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
-    hubs = hub_pairs(members, total).distinct()
+    hubs = hub_pairs(packed, total).distinct()
     tried = staged(small.unionAll(hubs).distinct(), "pairs")
-    sets = suspects(rows, table, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(members.select("id")).distinct(), cut, bands)
+    sets = suspects(rows, table, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(packed.select("id")).distinct(), cut, bands)
     links = staged(verified(tried, sets, num, den, alike), "links")
     labels = components(links, "a", "b")
     for many in (MANY, None):
-        crossing = staged(crossed(members, labels, total), "crossing")
+        crossing = staged(crossed(packed, labels, total), "crossing")
         if crossing.isEmpty():
             break
+        # tiles that hold one component stay so: the next round looks at these members alone, a tile by its hub
+        packed, total = crossing.groupBy("id").agg(F.collect_set("hub").alias("tiles")), crossing.count()
         met_again = staged(group_pairs(crossing, sets, num, den, many), "pairs")
         again = not met_again.where("cut").isEmpty()
         more = staged(met_again.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -583,16 +591,18 @@ def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "
             labels = components(links, "a", "b")
         if not again:
             break
-    removed(met, sets)
+    removed(met, large, sets)
     # nodes by both hashes, so that a document with half of another's hash isn't taken for it
     nodes = links.select(F.col("a").alias("one"), F.col("two_a").alias("two")).unionAll(links.select("b", "two_b")).distinct()
-    classes = table.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("first"))
+    words = table.where("n_shingles > 0")
+    classes = words.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     linked = classes.join(nodes, ["one", "two"]).join(labels, F.col("one") == F.col("node")).select("one", "two", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("one", "two", "least")
-    named = classes.join(linked, ["one", "two"], "left").select("one", "two", F.coalesce("least", "first").alias("component"))
-    out = table.join(named, ["one", "two"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.join(linked, ["one", "two"], "left").select("one", "two", "n", F.coalesce("least", "first").alias("component"))
+    # a class may hold a third of all documents
+    found = hot_join(words, named, ["one", "two"], table.count()).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return found.unionAll(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

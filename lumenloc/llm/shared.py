@@ -89,7 +89,7 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
 HOT_KEYS, HOT_ROWS = 10_000, 2000
 
 
-def hot_join(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+def hot_join(rows: DataFrame, one: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """rows joined with ``one``, which has a row a key and in n how many of the rows, ``total`` in all, carry it.
 
     A key that a share of over 1 / HOT_KEYS of the rows carries goes by broadcast, so its rows stay where they are;
