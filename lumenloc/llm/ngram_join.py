@@ -369,12 +369,12 @@ def probed(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     return hit
 
 
-def suspects(rows: DataFrame, table: DataFrame, ids: DataFrame, sets: Sets, bands: Bands) -> DataFrame:
+def suspects(rows: DataFrame, classes: DataFrame, ids: DataFrame, sets: Sets, bands: Bands) -> DataFrame:
     """id, two, size, items (sorted hashes) and bits of every set whose id is in ids, maybe of a few others.
 
     One document a set is worked on; a Bloom filter of those documents spares the others' texts a shuffle.
     """
-    chosen = table.join(ids, table["one"] == ids["id"], "left_semi").groupBy("one", "two").agg(F.min(F.xxhash64("doc_id")).alias("key"))
+    chosen = classes.join(ids, classes["one"] == ids["id"], "left_semi")
     spark = rows.sparkSession
     words = spark.sparkContext.broadcast(bloom(chosen.select("key")))
 
@@ -562,6 +562,9 @@ def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "
     bands, parts = Bands(num, den), shuffle_partitions(spark)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = staged(set_table(rows, cut), "sets")
+    words = table.where("n_shingles > 0")
+    # of each class of equal sets its smallest id, its size and a document: pre-aggregated, for it may hold a third of all
+    classes = staged(words.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("key")), "classes")
     met = staged(shared_tiles(rows, cut, bands, parts), "tiles")
     large = packed = staged(by_set(met.where("tile is not null").select("tile", "id")), "members")
     total = packed.agg(F.sum(F.size("tiles"))).first()[0] or 0
@@ -569,7 +572,7 @@ def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "
     small = met.where("tile is null").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
     hubs = hub_pairs(packed, total).distinct()
     tried = staged(small.unionAll(hubs).distinct(), "pairs")
-    sets = suspects(rows, table, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(packed.select("id")).distinct(), cut, bands)
+    sets = suspects(rows, classes, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(packed.select("id")).distinct(), cut, bands)
     links = staged(verified(tried, sets, num, den, alike), "links")
     labels = components(links, "a", "b")
     for many in (MANY, None):
@@ -594,13 +597,10 @@ def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "
     removed(met, large, sets)
     # nodes by both hashes, so that a document with half of another's hash isn't taken for it
     nodes = links.select(F.col("a").alias("one"), F.col("two_a").alias("two")).unionAll(links.select("b", "two_b")).distinct()
-    words = table.where("n_shingles > 0")
-    classes = words.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     linked = classes.join(nodes, ["one", "two"]).join(labels, F.col("one") == F.col("node")).select("one", "two", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("one", "two", "least")
     named = classes.join(linked, ["one", "two"], "left").select("one", "two", "n", F.coalesce("least", "first").alias("component"))
-    # a class may hold a third of all documents
     found = hot_join(words, named, ["one", "two"], table.count()).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return found.unionAll(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
