@@ -17,8 +17,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """a.b / (|a||b| + 1e-8), rounded half-even to 4 places."""
-    return F.bround(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-8), 4)
+    """a.b / (|a||b| + 1e-8), rounded half-even to 4 places. What is rounded to 0 keeps its sign, which ``bround`` loses."""
+    return F.rint(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-8) * 10000) / 10000
 
 
 def score_against(df: DataFrame, query: list[float], vector: str = "embedding", out: str = "similarity") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from compare import duck_rows, rows_of
 
@@ -17,6 +18,18 @@ def test_query_matches_its_sql(spark, sf_dir, duck, name):
     assert expected
 
 
+def test_likeness_that_rounds_to_zero_keeps_its_sign(spark, tmp_path):
+    vectors = [[1.0, 0.0], [-0.00003, 1.0], [0.00003, 1.0], [0.0, 1.0], [-0.0004, 1.0], [-0.00015, 1.0], [0.00025, 1.0]]
+    spark.createDataFrame([(k, v, k) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("match_rows", "clean_output"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        own, sql = (sorted((tuple(map(str, r)) for r in rows), key=repr) for rows in (df.collect(), con.sql(catalog.ORACLES[name]).select(*df.columns).fetchall()))
+        assert own == sql
+    assert {"0.000", "-0.000"} <= {r.similarity for r in catalog.match_rows(spark, str(tmp_path)).collect()}
+
+
 def test_sample_is_seeded(spark, sf_dir):
     first, second = (catalog.road_sample400(spark, sf_dir).collect() for _ in range(2))
     assert first == second
