@@ -10,6 +10,8 @@ Two documents link when ``den * |intersection| >= num * |union|`` of their sets
 * Equal sets are one set from the start: classes by a 128-bit hash, and a task sends each class once.
 * Tiles of up to SMALL sets give candidate pairs, which must share as many tiles as a linked pair does at least: all its
   slots but k and those that are empty in both. (A pair with too few may share larger tiles too; it is met there.)
+* A set goes on to larger tiles only if it has as many of a band's as it must share with any other set, or lacks no more
+  of them in some pair of smaller tiles; those that have a common passage and no more don't.
 * In larger tiles each set is first compared with the tile's hub, the member of the most larger tiles. Verified links
   make components. Only tiles that still hold several components go on: what they connect is a group, whose sets are
   compared in blocks, each two once: pairs across components pass if their sizes and bitmaps allow a link. Where
@@ -21,7 +23,7 @@ Two documents link when ``den * |intersection| >= num * |union|`` of their sets
 Rows of (tile, set) travel packed as arrays: a row a task and partition. A tile that a task meets more than CROWD times
 sends the rest of its entries straight on as members, by their sets instead of the tile; joins with a tile's or a
 component's one row go by broadcast where many rows carry it. Large groups are split into pairs of blocks of BLOCK
-members, so no task holds a whole group's pairs. Documents' sets are rebuilt from their texts for suspects alone.
+members, so no task holds a whole group's pairs, and worked through in passes, so not all of them are on disk at once. Documents' sets are rebuilt from their texts for suspects alone.
 
 N-grams are compared by 64-bit hashes of their words' 64-bit hashes, and equal sets are told by 128 bits over those.
 
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +53,10 @@ FLUSH = 1_000_000  # (tile, set) entries that a task holds before it sends them
 SEEN = 300_000  # sets that a task remembers as sent
 SMALL = 16
 CROWD = 1024  # entries of a tile, among FLUSH, that go to the tile's part; with a task's sets sent again they hold more than SMALL sets
+MANY_EMPTY = 65535  # empty slots of a set, or more
 PAIRS = 400_000  # that a task holds before it counts and sends them
 BLOCK = 4096
+PASS = 8  # blocks of a group whose pairs with all before them are on their way at once: up to 2 * PASS bitmaps a member
 MANY = 20_000
 BLOOM_BITS = 1 << 27  # at most: 16 MB
 #: From texts to the sorted distinct 64-bit elements of their sets in a row, and each set's bounds.
@@ -128,7 +133,12 @@ class Bands:
     def shared(self, size: np.ndarray, empty: np.ndarray) -> np.ndarray:
         """How many filled slots of the smaller set's band two linked sets share at least; empty: the fewer empty slots."""
         level = self.level(size)
-        return np.maximum(1, self.powers[level] - np.minimum(self.differ(size), self.most[level]) - empty)
+        return self.least(size, level, empty)
+
+    def least(self, size: np.ndarray, level: np.ndarray, empty: np.ndarray) -> np.ndarray:
+        """How many filled slots of a band a set shares at least with any that it links with there; empty: its own empty
+        slots. A smaller partner differs less and a pair has no more empty slots, so no pair needs fewer."""
+        return np.where(empty == MANY_EMPTY, 1, np.maximum(1, self.powers[level] - np.minimum(self.differ(size), self.most[level]) - empty))
 
     def levels(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lowest and highest band; the highest is -1 where only an equal set could link."""
@@ -223,8 +233,9 @@ def set_table(rows: DataFrame, sets: Sets) -> DataFrame:
 
 
 def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataFrame:
-    """tile, id: members of tiles with more than SMALL sets; tile null, id, other: pairs of sets of smaller tiles, how many
-    of a task's tiles they share and how many they must share in all."""
+    """tile, id: members of tiles with more than SMALL sets and how many of their band's tiles they must share with any
+    other; tile null, id, other: pairs of sets of smaller tiles, how many of a task's tiles they share and how many they
+    must share in all. All with their band."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -267,7 +278,7 @@ def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataF
             sizes = np.diff(bounds)
             keep = np.repeat(fresh, sizes)
             tile, own, free = tiles(flat[keep], np.concatenate([[0], np.cumsum(sizes[fresh])]), bands)
-            held.append((tile, one[fresh][own], sizes[fresh][own].astype(np.uint32), np.minimum(free, 65535).astype(np.uint16)))
+            held.append((tile, one[fresh][own], sizes[fresh][own].astype(np.uint32), np.minimum(free, MANY_EMPTY).astype(np.uint16)))
             count += len(tile)
             if count >= FLUSH:
                 yield from flush()
@@ -277,18 +288,20 @@ def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataF
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.uint64, np.uint64, np.uint32, np.uint16)]
-        names = ["tile", "id", "other", "shared", "least"]
+        names = ["tile", "id", "other", "shared", "least", "band"]
 
-        def as_members(tile: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def as_members(tile: np.ndarray, ids: np.ndarray, size: np.ndarray, free: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(tile), 1 << 16):
-                part = tile[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([_signed(part), _signed(ids[a : a + (1 << 16)]), *[pa.nulls(len(part), pa.int64())] * 3], names=names)
+                own = slice(a, a + (1 << 16))
+                band = (tile[own] & np.uint64(63)).astype(np.int64)
+                nulls = pa.nulls(len(band), pa.int64())
+                yield pa.RecordBatch.from_arrays([_signed(tile[own]), _signed(ids[own]), nulls, nulls, pa.array(bands.least(size[own].astype(np.int64), band, free[own].astype(np.int64))), pa.array(band)], names=names)
 
         for batch in batches:
             for crowded, ids, counts, sizes, free, own in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
                 often = np.frombuffer(counts, np.uint16)
                 if crowded:  # the tile's own part has more than SMALL of its sets
-                    yield from as_members(np.frombuffer(own, np.uint64), np.repeat(np.frombuffer(ids, np.uint64), often))
+                    yield from as_members(np.frombuffer(own, np.uint64), *(np.repeat(np.frombuffer(x, kind), often) for x, kind in ((ids, np.uint64), (sizes, np.uint32), (free, np.uint16))))
                     continue
                 columns[0].append(np.frombuffer(own, np.uint64))
                 for c, data, kind in zip(columns[1:], (ids, sizes, free), (np.uint64, np.uint32, np.uint16), strict=True):
@@ -321,7 +334,7 @@ def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataF
             often, pairs = np.diff(np.append(at, len(pairs))), pairs[at]
             for k in range(0, len(pairs), 1 << 16):
                 part = pairs[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), _signed(part[:, 0]), _signed(part[:, 1]), pa.array(often[k : k + (1 << 16)]), _signed(part[:, 2])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), _signed(part[:, 0]), _signed(part[:, 1]), pa.array(often[k : k + (1 << 16)]), _signed(part[:, 2]), _signed(part[:, 3])], names=names)
 
         for n in range(2, SMALL + 1):
             every = starts[counts == n]
@@ -333,18 +346,17 @@ def shared_tiles(rows: DataFrame, sets: Sets, bands: Bands, parts: int) -> DataF
                     # a pair is held to what it shares in the smaller one's band
                     good = (bands.den * small >= bands.num * large) & (bands.level(small) == band)
                     p, q, small = p[good], q[good], small[good]
-                    empty = np.minimum(free[p], free[q])
-                    least = np.where(empty == 65535, 1, bands.shared(small, empty))
-                    held.append(np.stack([ids[p].view(np.int64), ids[q].view(np.int64), least], axis=1))
+                    least = bands.shared(small, np.minimum(free[p], free[q]))
+                    held.append(np.stack([ids[p].view(np.int64), ids[q].view(np.int64), least, band[good]], axis=1))
                     if sum(map(len, held)) > PAIRS:
                         yield from counted()
         if held:
             yield from counted()
         more = np.repeat(counts > SMALL, counts)
-        yield from as_members(tile[more], ids[more])
+        yield from as_members(tile[more], ids[more], size[more], free[more])
 
     sent = rows.select("text").mapInArrow(send, "part int, crowded boolean, ids binary, counts binary, sizes binary, free binary, tiles binary")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "tile long, id long, other long, shared long, least long")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(meet, "tile long, id long, other long, shared long, least long, band long")
 
 
 def bloom(ids: DataFrame) -> np.ndarray:
@@ -441,9 +453,25 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Calla
     return with_sets(rows, own, "two", "items").mapInArrow(linked, "a long, b long, two_a long, two_b long")
 
 
-def by_set(members: DataFrame) -> DataFrame:
-    """id and all its large tiles: what is joined by id is a row a set instead of a row an entry."""
-    return members.repartition("id").groupBy("id").agg(F.collect_set("tile").alias("tiles"))
+def by_set(met: DataFrame, small: DataFrame) -> DataFrame:
+    """id and all its large tiles that a link may need: what is joined by id is a row a set instead of a row an entry.
+
+    A pair that small tiles don't give shares large ones of its band. If it shares none but these, both sets have at least
+    as many as they must share; else the pair is in ``small``, and both have at least as many as it lacks. Sets that merely
+    share a passage have a few tiles of that passage alone, and go here.
+    """
+    members = met.where("tile is not null").repartition("id").groupBy("id", "band").agg(F.collect_set("tile").alias("tiles"), F.min("least").alias("least"))
+    members = staged(members, "members")
+    has = lambda x: members.select(F.col("id").alias(x), F.col("band").alias(f"band_{x}"), F.size("tiles").alias(f"n_{x}"))
+    some = small.where("shared < least").withColumn("lacks", F.col("least") - F.col("shared"))
+    for x in "ab":
+        some = some.join(has(x), x).where(f"band = band_{x} and n_{x} >= lacks").drop(f"band_{x}", f"n_{x}")
+    some = some.select(F.explode(F.array("a", "b")).alias("id"), "band").distinct()
+    enough = F.size("tiles") >= F.col("least")
+    kept = members.where(enough).unionByName(members.where(~enough).join(some, ["id", "band"], "left_semi").select(members.columns))
+    packed = staged(kept.groupBy("id").agg(F.flatten(F.collect_list("tiles")).alias("tiles")), "members")
+    removed(members)
+    return packed
 
 
 def hub_pairs(packed: DataFrame, total: int) -> DataFrame:
@@ -472,9 +500,17 @@ def group_pairs(crossing: DataFrame, sets: DataFrame, num: int, den: int, many:
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
     rows = hot_join(named, sizes, "group", groups.count()).withColumn("g", ((F.col("n") + BLOCK - 1) / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     rows = rows.join(sets.select("id", "size", "bits").dropDuplicates(["id"]), "id")
-    # a group of g blocks is worked through as pairs of blocks; a member goes to the g pairs of its block
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("group", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "component", "size", "bits")
-    rows = rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
+    most = -(-(sizes.agg(F.max("n")).first()[0] or 1) // BLOCK)
+    if most > PASS:
+        rows = staged(rows, "blocks")
+
+    def paired(first: int) -> DataFrame:
+        """A group of g blocks is worked through as pairs of blocks; a member goes to the g pairs of its block. Those of one
+        pass, whose second block is among the PASS from the first."""
+        pairs = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("group", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "component", "size", "bits")
+        if most > PASS:
+            pairs = pairs.where(F.col("y").between(first, first + PASS - 1))
+        return pairs.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
 
     def compare(group: pa.Table) -> Iterator[tuple[np.ndarray, bool]]:
         """Pairs that pass, in batches; what is held is one batch and, with many, a pair a component."""
@@ -548,7 +584,12 @@ def group_pairs(crossing: DataFrame, sets: DataFrame, num: int, den: int, many:
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long, cut boolean")
+    through = lambda first: paired(first).mapInArrow(run, "a long, b long, cut boolean")
+    if most <= PASS:
+        return through(0)
+    found = [staged(through(first), "pairs") for first in range(0, most, PASS)]
+    removed(rows)
+    return reduce(DataFrame.unionAll, found)
 
 
 def jaccard_components(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -566,12 +607,12 @@ def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "
     # of each class of equal sets its smallest id, its size and a document: pre-aggregated, for it may hold a third of all
     classes = staged(words.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("key")), "classes")
     met = staged(shared_tiles(rows, cut, bands, parts), "tiles")
-    large = packed = staged(by_set(met.where("tile is not null").select("tile", "id")), "members")
-    total = packed.agg(F.sum(F.size("tiles"))).first()[0] or 0
     # ids ascend within a tile, so a pair is the same way round in each
-    small = met.where("tile is null").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
+    small = met.where("tile is null").groupBy(F.col("id").alias("a"), F.col("other").alias("b"), "band").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    large = packed = by_set(met, small)
+    total = packed.agg(F.sum(F.size("tiles"))).first()[0] or 0
     hubs = hub_pairs(packed, total).distinct()
-    tried = staged(small.unionAll(hubs).distinct(), "pairs")
+    tried = staged(small.where("shared >= least").select("a", "b").unionAll(hubs).distinct(), "pairs")
     sets = suspects(rows, classes, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(packed.select("id")).distinct(), cut, bands)
     links = staged(verified(tried, sets, num, den, alike), "links")
     labels = components(links, "a", "b")

@@ -403,6 +403,34 @@ def test_ngram_join(spark, monkeypatch, n, num, den):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_components(rows, n, num, den)
 
 
+def test_ngram_join_passage(spark, monkeypatch):
+    """Texts that merely share a passage have tiles of it in common; they aren't compared, and links stay whole."""
+    rnd = random.Random(5)
+    passage = " ".join(rnd.choice(WORDS) for _ in range(16))
+    apart = [f"{passage} " + " ".join(f"v{rnd.randrange(10**6)}" for _ in range(rnd.randint(90, 110))) for _ in range(250)]
+    rows = list(enumerate([*apart, *(f"{passage} {t}" for t in near_texts(60, 3)), *near_texts(60, 4)]))
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    seen = []
+    hub_pairs = ngram_join.hub_pairs
+    monkeypatch.setattr(ngram_join, "hub_pairs", lambda packed, total: seen.append(packed.count()) or hub_pairs(packed, total))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.jaccard_components(df, 4, 85, 100).collect()) == brute_components(rows, 4, 85, 100)
+    assert seen[0] <= 120, seen
+
+
+@pytest.mark.parametrize(("many", "block"), [(3, 2), (20_000, 3)])
+def test_ngram_join_passes(spark, monkeypatch, many, block):
+    """A group of more blocks than a pass takes."""
+    for name, value in (("SMALL", 2), ("BLOCK", block), ("PASS", 2), ("MANY", many)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = list(enumerate(near_texts(90, 6)))
+    passes = []
+    monkeypatch.setattr(ngram_join, "staged", lambda df, name: passes.append(name) or shared.staged(df, name))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.jaccard_components(df, 4, 60, 100).collect()) == brute_components(rows, 4, 60, 100)
+    assert "blocks" in passes
+
+
 def test_ngram_join_odd(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     found = ngram_join.jaccard_components(odd, 4, 85, 100).collect()
