@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from test_llm import CLASHING, ODD, brute_components, brute_lines
 
 import corpus_pipeline
-from lumenloc.llm import quality, secret_scan
+from lumenloc.llm import ngram_join, quality, secret_scan
 from lumenloc.llm.shared import documents, staged
 
 
@@ -101,3 +102,18 @@ def test_one_of_each_group_stays(spark, sf_dir):
     rows = [(1, long), (1, "quite another text of more than five words"), (2, long), (2, "something that only this one says here"), (None, long), (None, long), (None, "alone without an id but with words"), (5, ""), (5, ""), (6, long + " more"), (7, "x y"), (7, "x y")]
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
     assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("1", long), ("1", rows[1][1]), ("2", rows[3][1]), ("None", rows[6][1]), ("5", ""), ("5", ""), ("7", "x y")])
+
+
+def test_near_duplicates_passage(spark, sf_dir, monkeypatch):
+    """Documents with a passage in common, but no more, stay and few are compared; of copies one stays."""
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    rnd = random.Random(9)
+    passage = " ".join(f"w{k}" for k in range(20))
+    apart = [f"{passage} " + " ".join(f"v{rnd.randrange(10**6)}" for _ in range(rnd.randint(90, 110))) for _ in range(250)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate([*apart, *(f"{t} end" for t in apart[:5])])]
+    seen = []
+    hub_pairs = ngram_join.hub_pairs
+    monkeypatch.setattr(ngram_join, "hub_pairs", lambda packed, total: seen.append(packed.count()) or hub_pairs(packed, total))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == list(range(250))
+    assert seen[0] < 50, seen
