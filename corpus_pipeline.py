@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenloc.llm.line_dedup import drop_repeated_lines
 from lumenloc.llm.ngram_join import jaccard_components
 from lumenloc.llm.packing import pack_documents
-from lumenloc.llm.quality import THRESHOLD, add_statistics, fit, scored
+from lumenloc.llm.quality import THRESHOLD, add_statistics, fit, scored, with_statistics
 from lumenloc.llm.secret_scan import scan_secrets
 from lumenloc.llm.shared import documents, fresh, removed, staged
 
@@ -26,11 +26,11 @@ def _texts(out: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on their labels, rejects go. Each text's statistics are made once."""
+    """Documents that the classifier, fitted on their labels, rejects go. Each text's statistics are made twice, for the
+    fit and for the score: kept between them with the texts, they would take more room than the input in all stages."""
     (features,) = fresh(docs, "features")
-    rows = staged(add_statistics(docs, features), "pipeline-statistics")
-    fitted = fit(rows.select("doc_id", F.col(features).alias("features")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows.where(scored(F.col(features), fitted) >= THRESHOLD).select(*docs.columns)
+    fitted = fit(with_statistics(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return add_statistics(docs, features).where(scored(F.col(features), fitted) >= THRESHOLD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

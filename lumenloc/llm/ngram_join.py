@@ -17,7 +17,9 @@ Two documents link when ``den * |intersection| >= num * |union|`` of their sets
   compared in blocks, each two once: pairs across components pass if their sizes and bitmaps allow a link. Where
   more than MANY pass in a block, first only each component's likeliest does; once these are verified, a second round
   over the new components lets all pass that weren't verified.
-* Verification compares bitmaps first: set bits that the other lacks bound the intersection from above. Only the sets of
+* Of the pairs, each set's with its smallest partner and then each component's are verified first, of the others only those
+  between components: sets that are all alike need a link each, not all their pairs.
+* Verification works in steps and compares bitmaps first: set bits that the other lacks bound the intersection from above. Only the sets of
   pairs that pass meet, to intersect their sorted arrays of 64-bit n-gram hashes.
 
 Rows of (tile, set) travel packed as arrays: a row a task and partition. A tile that a task meets more than CROWD times
@@ -51,13 +53,14 @@ WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
 FLUSH = 1_000_000  # (tile, set) entries that a task holds before it sends them
 SEEN = 300_000  # sets that a task remembers as sent
-SMALL = 16
+SMALL = 4  # a tile of n sets makes n * (n - 1) / 2 pairs: no more rows than 1.5 times its entries
 CROWD = 1024  # entries of a tile, among FLUSH, that go to the tile's part; with a task's sets sent again they hold more than SMALL sets
 MANY_EMPTY = 65535  # empty slots of a set, or more
 PAIRS = 400_000  # that a task holds before it counts and sends them
 BLOCK = 4096
 PASS = 8  # blocks of a group whose pairs with all before them are on their way at once: up to 2 * PASS bitmaps a member
 MANY = 20_000
+STEP = 100_000  # pairs, or more, that are verified at once: what moves is both sets of each
 BLOOM_BITS = 1 << 27  # at most: 16 MB
 #: From texts to the sorted distinct 64-bit elements of their sets in a row, and each set's bounds.
 Sets = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
@@ -410,10 +413,21 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Calla
     """pairs (a, b) with their hashes two, where the sets link: bit counts first, then the sorted arrays, by ``alike``
     if it is given.
 
-    The joins are sort-merge joins at every size; a Bloom filter of the pairs that pass the bit counts keeps other sets
-    from moving.
+    The joins are sort-merge joins at every size; Bloom filters of the pairs that pass the bit counts keep other sets from
+    moving. Pairs are worked through in steps of STEP, and not more than 64 of them, so only one step's sets are on their way.
     """
-    with_sets = lambda rows, own, *columns: rows.join(own.select(*[F.col(c).alias(f"{c}_b") for c in ("id", *columns)]).hint("merge"), F.col("b") == F.col("id_b")).join(own.select(*[F.col(c).alias(f"{c}_a") for c in ("id", *columns)]).hint("merge"), F.col("a") == F.col("id_a")).select("a", "b", *[f"{c}_{k}" for c in columns for k in "ab"])  # noqa: E731, E501
+    pairs = staged(pairs.select("a", "b"), "pairs")
+    steps = max(1, min(64, -(-pairs.count() // STEP)))
+    found = [staged(_verified(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(steps)) == k), sets, num, den, alike), "links") for k in range(steps)]
+    removed(pairs)
+    return reduce(DataFrame.unionAll, found)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Callable[[np.ndarray, np.ndarray], bool] | None) -> DataFrame:
+    def with_sets(rows: DataFrame, own: dict[str, DataFrame], *columns: str) -> DataFrame:
+        for x in "ba":
+            rows = rows.join(own[x].select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", *columns)]).hint("merge"), F.col(x) == F.col(f"id_{x}"))
+        return rows.select("a", "b", *[f"{c}_{k}" for c in columns for k in "ab"])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,14 +440,20 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Calla
             if keep.any():
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    rows = staged(with_sets(pairs, sets, "size", "bits").mapInArrow(likely, "a long, b long"), "likely")
-    words = pairs.sparkSession.sparkContext.broadcast(bloom(rows.select(F.col("a").alias("key")).unionAll(rows.select("b")).distinct()))
+    def needed(rows: DataFrame, column: str, *columns: str) -> DataFrame:
+        """The sets that stand in a column of the rows, maybe a few others."""
+        words = pairs.sparkSession.sparkContext.broadcast(bloom(rows.select(F.col(column).alias("key")).distinct()))
 
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = probed(words.value, np.asarray(batch.column(0)))
-            if hit.any():
-                yield batch.filter(pa.array(hit))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = probed(words.value, np.asarray(batch.column(0)))
+                if hit.any():
+                    yield batch.filter(pa.array(hit))
+
+        own = sets.select("id", *columns)
+        return own.mapInArrow(run, own.schema)
+
+    rows = staged(with_sets(pairs, {x: needed(pairs, x, "size", "bits") for x in "ab"}, "size", "bits").mapInArrow(likely, "a long, b long"), "likely")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -449,8 +469,31 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Calla
             if keep.any():
                 yield batch.select(["a", "b", "two_a", "two_b"]).filter(pa.array(keep))
 
-    own = sets.select("id", "two", "items").mapInArrow(needed, "id long, two long, items binary")
-    return with_sets(rows, own, "two", "items").mapInArrow(linked, "a long, b long, two_a long, two_b long")
+    return with_sets(rows, {x: needed(rows, x, "two", "items") for x in "ab"}, "two", "items").mapInArrow(linked, "a long, b long, two_a long, two_b long")
+
+
+def spanning(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike: Callable[[np.ndarray, np.ndarray], bool] | None) -> tuple[DataFrame, DataFrame]:
+    """Links among the pairs, as many as make the components that all links make, and these (node, root).
+
+    Of many sets that are all alike, each needs one link. So first each set's pair with its smallest partner is verified,
+    then each component's with the smallest one; of the others only those between different components.
+    """
+    links, left, labels = [], pairs, None
+    for last in (False, False, True):
+        if labels is not None:
+            for x in "ab":
+                left = left.join(labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+            left = left.select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x <> y")
+            left = staged(left.join(one, ["a", "b"], "left_anti").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "pairs")
+            if left.isEmpty():
+                break
+        else:
+            left = left.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
+        one = left.select("a", "b") if last else staged(left.groupBy("y").agg(F.min(F.struct("x", "a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
+        links.append(verified(one, sets, num, den, alike))
+        left = left.select("a", "b")
+        labels = components(reduce(DataFrame.unionAll, links), "a", "b")
+    return reduce(DataFrame.unionAll, links), labels
 
 
 def by_set(met: DataFrame, small: DataFrame) -> DataFrame:
@@ -608,14 +651,15 @@ def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "
     classes = staged(words.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("key")), "classes")
     met = staged(shared_tiles(rows, cut, bands, parts), "tiles")
     # ids ascend within a tile, so a pair is the same way round in each
-    small = met.where("tile is null").groupBy(F.col("id").alias("a"), F.col("other").alias("b"), "band").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    small = staged(met.where("tile is null").groupBy(F.col("id").alias("a"), F.col("other").alias("b"), "band").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")), "small")
     large = packed = by_set(met, small)
+    removed(met)
     total = packed.agg(F.sum(F.size("tiles"))).first()[0] or 0
     hubs = hub_pairs(packed, total).distinct()
-    tried = staged(small.where("shared >= least").select("a", "b").unionAll(hubs).distinct(), "pairs")
+    tried = staged(small.where("shared >= least").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(hubs).distinct(), "pairs")
+    removed(small)
     sets = suspects(rows, classes, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).unionAll(packed.select("id")).distinct(), cut, bands)
-    links = staged(verified(tried, sets, num, den, alike), "links")
-    labels = components(links, "a", "b")
+    links, labels = spanning(tried, sets, num, den, alike)
     for many in (MANY, None):
         crossing = staged(crossed(packed, labels, total), "crossing")
         if crossing.isEmpty():
@@ -629,13 +673,13 @@ def set_components(df: DataFrame, cut: Sets, num: int, den: int, id_col: str = "
             if again:
                 continue
             break
-        found = staged(verified(more, sets, num, den, alike), "links")
+        found = verified(more, sets, num, den, alike)
         tried, links = tried.unionAll(more), links.unionAll(found)
         if not found.isEmpty():
             labels = components(links, "a", "b")
         if not again:
             break
-    removed(met, large, sets)
+    removed(large, sets)
     # nodes by both hashes, so that a document with half of another's hash isn't taken for it
     nodes = links.select(F.col("a").alias("one"), F.col("two_a").alias("two")).unionAll(links.select("b", "two_b")).distinct()
     linked = classes.join(nodes, ["one", "two"]).join(labels, F.col("one") == F.col("node")).select("one", "two", "first", "root")

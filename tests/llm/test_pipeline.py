@@ -117,3 +117,31 @@ def test_near_duplicates_passage(spark, sf_dir, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == list(range(250))
     assert seen[0] < 50, seen
+
+
+def test_quality_keeps_no_texts(spark, sf_dir):
+    """What the stage returns is made from the documents, not from a copy of them that stays on disk."""
+    docs = documents(spark, sf_dir)
+    assert set(corpus_pipeline.quality(spark, docs, sf_dir).inputFiles()) == set(docs.inputFiles())
+
+
+def test_near_duplicates_alike(spark, sf_dir, monkeypatch):
+    """Of sets that are all alike, about one pair a set is verified, in steps; the groups are those of brute force."""
+    monkeypatch.setattr(ngram_join, "STEP", 100)
+    rnd = random.Random(4)
+    texts = []
+    for _ in range(12):
+        words = [f"v{rnd.randrange(10**6)}" for _ in range(150)]
+        for _ in range(12):
+            own = list(words)
+            for at in rnd.sample(range(150), 1):
+                own[at] = f"n{rnd.randrange(10**6)}"
+            texts.append(" ".join(own))
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    seen = []
+    verified = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *a, **k: seen.append(pairs.count()) or verified(pairs, *a, **k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert kept == sorted(int(i) for i, _, c in brute_components([r[:2] for r in rows], 5, 80, 100) if i == c)
+    assert sum(seen) < 2 * len(rows), seen
